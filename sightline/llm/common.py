@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/") if "://" in folder else "file://" + folder.rstrip("/")
 
 
+#: Rows of a batch that goes to Python, where the session has Spark's own default: documents may be long.
+BATCH_ROWS = "1000"
+
+
 class Workspace:
     """A folder of intermediate tables under the shared folder.
 
@@ -40,6 +44,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         atexit.register(self.clear)
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

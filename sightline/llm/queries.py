@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_files
+from . import decontaminate, mixing, token_files, url_filter
 from .common import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rules of the URL filter, and the words that put a host on the block list.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+LISTED_WORDS = ("casino", "poker", "porn", "xxx", "viagra", "lottery", "warez")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +32,26 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.read_token_files(spark, folder))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    host = url_filter.url_parts(F.col("url"))[0]
+    listed = pages.select(host.alias("host")).distinct().where(F.col("host").rlike(r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"))
+    return url_filter.judge_urls(pages, listed, URL_RULES)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.plan_mix(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
+    "op6_mixing": op6_mixing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,57 +90,96 @@ def unpack_block(content: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray
 class ChunkEncoder:
     """Encodes texts by way of their white-space-separated chunks, keeping the ids of chunks seen.
 
-    It is exact for tokenizers whose pre-tokenizer drops white space and never looks across it
-    (``splits_on_space``); any other tokenizer gets whole texts.
+    A batch's chunks are numbered by Arrow, each different one is looked up once, and numpy gathers
+    the ids. Chunks not seen before are encoded together, set apart by a character that none of
+    them holds. Exact for tokenizers whose pre-tokenizer drops white space and never looks across it
+    (``splits_on_space``); with any other tokenizer each text is a chunk of its own.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width, self.known = Tokenizer.from_file(path), width, {}
-        self.by_chunk = splits_on_space(self.tokenizer)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer, self.width, self.known = Tokenizer.from_file(path), np.dtype(width), {}
+        self.by_chunk, self.folds = splits_on_space(self.tokenizer), folds_case(self.tokenizer)
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and self.by_chunk else None
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if self.MARK not in c and "<" not in c] if self.mark is not None else []
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=self.width)
+            ends = np.r_[np.flatnonzero(ids == self.mark), len(ids)] * self.width.itemsize
+            starts, raw = np.r_[0, ends[:-1] + self.width.itemsize], ids.tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], strict=True))
+        for c in (c for c in new if c not in self.known):
+            self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=self.width).tobytes()
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``end_id``, and the number of each text's ids."""
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
         if not self.by_chunk:
-            return self.whole(texts)
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if new := list({c for own in chunks for c in own if c not in known}):
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                known.update(zip(some, self.whole([c.decode("utf-8", "surrogatepass") for c in some])))
-        return [b"".join(map(known.__getitem__, own)) for own in chunks]
+            chunks, of = texts, np.arange(len(texts) + 1)
+        else:
+            if self.folds:  # ASCII text that holds no special token may be folded first: fewer chunks differ
+                plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+                texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+            lists = pc.ascii_split_whitespace(texts)
+            chunks, of = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            of = of - of[0]
+        coded = chunks.dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        get = self.known.get
+        found = [get(c) for c in unique]
+        if new := [c for c, x in zip(unique, found) if x is None]:
+            self._learn(new)
+            found = [get(c) for c in unique]
+        found.append(np.array([end_id], dtype=self.width).tobytes())
+        flat = np.frombuffer(b"".join(found), dtype=self.width)
+        size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // self.width.itemsize
+        begin = np.cumsum(size) - size
+        words = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), of[1:], len(unique))
+        sizes = size[words]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(begin[words] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        last = ends[of[1:] + np.arange(len(of) - 1)]
+        return ids, np.diff(last, prepend=0)
 
 
 def splits_on_space(tokenizer) -> bool:
     """Whether white space only ever separates: a text's ids are then its chunks' ids, joined."""
-    probe = "Abé, it's x9ß ́o"
+    probe = "Abé, it's x9ß \u0301o"
     apart = [i for c in probe.split(" ") for i in tokenizer.encode(c, add_special_tokens=False).ids]
     spaced = [tokenizer.encode(s, add_special_tokens=False).ids for s in (probe, probe.replace(" ", " \t\x0b\x0c\r\n "))]
     return all(s == apart for s in spaced) and not tokenizer.encode(" \t\x0b\x0c\r\n", add_special_tokens=False).ids
 
 
-def _tokenized(path: str, end_id: int, width: str):
-    tail, size = np.array([end_id], dtype=width).tobytes(), np.dtype(width).itemsize
+def folds_case(tokenizer) -> bool:
+    import string
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return all(tokenizer.encode(c, add_special_tokens=False).ids == tokenizer.encode(c.lower(), add_special_tokens=False).ids for c in string.ascii_uppercase)
+
+
+def _tokenized(path: str, end_id: int, width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         if (path, width) not in _encoders:
             _encoders[path, width] = ChunkEncoder(path, width)
         encode, part, start = _encoders[path, width], TaskContext.get().partitionId(), 0
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                rows = frame.iloc[at : at + 256]
-                ids = [x + tail for x in encode([t or "" for t in rows["text"]])]
-                ends = start + np.cumsum([len(x) // size for x in ids])
-                yield pd.DataFrame({"part": part, "start": np.r_[start, ends[:-1]], "doc_id": rows["doc_id"].array, "ids": ids})
-                start = int(ends[-1])
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, counts = encode(pc.fill_null(batch.column("text"), ""), end_id)
+            ends = np.r_[0, np.cumsum(counts)]
+            offsets = (ends * ids.itemsize).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            columns = [pa.array(np.full(len(counts), part, dtype=np.int32)), pa.array(start + ends[:-1]), batch.column("doc_id"), blobs]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "start", "doc_id", "ids"])
+            start += int(ends[-1])
 
     return run
 
@@ -147,7 +188,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: str =
     """part, start (tokens before it in the part), doc_id, ids: parts are ranges of doc_id in ascending order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ranged.mapInPandas(_tokenized(tokenizer_path, end_id, width), "part int, start long, doc_id long, ids binary")
+    return ranged.mapInArrow(_tokenized(tokenizer_path, end_id, width), "part int, start long, doc_id long, ids binary")
 
 
 # ---- files ------------------------------------------------------------------------------------
