@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,6 @@ HEADER = struct.Struct("<8sIIQQQ")  # magic, part, documents, tokens, start with
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 1_000_000
-_encoders: dict = {}
 
 
 # ---- the code ---------------------------------------------------------------------------------
@@ -163,13 +163,17 @@ def folds_case(tokenizer) -> bool:
     return all(tokenizer.encode(c, add_special_tokens=False).ids == tokenizer.encode(c.lower(), add_special_tokens=False).ids for c in string.ascii_uppercase)
 
 
+@lru_cache(maxsize=4)
+def chunk_encoder(path: str, width: str) -> ChunkEncoder:
+    """One for each Python worker: what it has learned serves the worker's later tasks."""
+    return ChunkEncoder(path, width)
+
+
 def _tokenized(path: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if (path, width) not in _encoders:
-            _encoders[path, width] = ChunkEncoder(path, width)
-        encode, part, start = _encoders[path, width], TaskContext.get().partitionId(), 0
+        encode, part, start = chunk_encoder(path, width), TaskContext.get().partitionId(), 0
         for batch in batches:
             if not len(batch):
                 continue
