@@ -22,28 +22,30 @@ SPAN, K = 13, 5
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def grams(words: Column, k: int) -> Column:
-    """Hash of the k words at each position."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+def gram(words: Column, i: Column, k: int) -> Column:
+    """32-bit hash of the k words from position i (from 0). Meetings by chance fall away when hits are extended."""
+    return F.hash(*[F.get(words, i + j) for j in range(k)])
 
 
-def fingerprints(hashes: Column, window: int) -> Column:
-    """Distinct (hash, pos): of each ``window`` consecutive k-grams the one with the least hash, the last of equals."""
-    at = F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))
-    least = F.transform(F.sequence(F.lit(1), F.size(at) - (window - 1)), lambda i: F.array_min(F.slice(at, i, window)))
-    return F.array_distinct(least)
+def with_fingerprints(df: DataFrame, words: str, lengths: list[int], span: int = SPAN, k: int = K) -> DataFrame:
+    """Add ``kept``: (class, hash, pos) of the text's winnowed k-grams in class 0, and of all grams of each short length.
 
-
-def _kept(words: Column, span: int, k: int, lengths: list[int]) -> Column:
-    """(length class, hash, pos) of a text: winnowed k-grams in class 0, and all grams of each short length."""
-    n = F.size(words)
-    none = F.expr("cast(array() as array<struct<class:int,hash:bigint,pos:int>>)")
-    winnowed = F.transform(fingerprints(grams(words, k), span - k + 1), lambda f: F.struct(F.lit(0).alias("class"), f["hash"].alias("hash"), (-f["back"]).alias("pos")))
-    lists = [F.when(n >= span, winnowed).otherwise(none)]
+    Each step is a column of its own: an expression inside a lambda would be computed anew for every element.
+    Callers use explode_outer: for explode, Spark adds a filter on the array's size that computes all of it once more.
+    """
+    n, window = F.size(words), span - k + 1
+    none = F.expr("cast(array() as array<struct<class:int,hash:int,pos:int>>)")
+    # Hash above, position below and counted downwards: the least is the least hash, the last of equals.
+    packed = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.shiftleft(gram(F.col(words), i, k).cast("long"), 32) + (0x7FFFFFFF - i))
+    df = df.withColumn("_packed", F.when(n >= span, packed))
+    least = F.transform(F.sequence(F.lit(1), F.size("_packed") - (window - 1)), lambda i: F.array_min(F.slice("_packed", i, window)))
+    df = df.withColumn("_least", F.when(F.col("_packed").isNotNull(), F.array_distinct(least)))
+    winnowed = F.transform("_least", lambda x: F.struct(F.lit(0).alias("class"), F.shiftright(x, 32).cast("int").alias("hash"), (0x7FFFFFFF - F.pmod(x, F.lit(1 << 32))).cast("int").alias("pos")))
+    lists = [F.coalesce(winnowed, none)]
     for length in lengths:
-        every = F.transform(grams(words, length), lambda h, i, c=length: F.struct(F.lit(c).alias("class"), h.alias("hash"), i.alias("pos")))
+        every = F.transform(F.sequence(F.lit(0), n - length), lambda i, c=length: F.struct(F.lit(c).alias("class"), gram(F.col(words), i, c).alias("hash"), i.alias("pos")))
         lists.append(F.when(n >= length, every).otherwise(none))
-    return F.concat(*lists) if len(lists) > 1 else lists[0]
+    return df.withColumn("kept", F.concat(*lists) if len(lists) > 1 else lists[0]).drop("_packed", "_least")
 
 
 def _windows(words: Column, item: Column, shift: Column, span: int) -> Column:
@@ -69,10 +71,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     items = space.table(items.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
     lengths = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())
     # A short item has one gram, in the class of its length; a long one its winnowed grams in class 0.
-    of_items = items.select("item_key", F.size("item").alias("length"), F.explode(_kept(F.col("item"), span, k, lengths)).alias("f")).select("item_key", "length", "f.*")
-    of_items = space.table(of_items.where(f"class = 0 or class = length").select("item_key", "class", "hash", F.col("pos").alias("item_pos")), "test")
+    of_items = with_fingerprints(items, "item", lengths, span, k).select("item_key", F.size("item").alias("length"), F.explode_outer("kept").alias("f")).select("item_key", "length", "f.*")
+    of_items = space.table(of_items.where("class = 0 or class = length").select("item_key", "class", "hash", F.col("pos").alias("item_pos")), "test")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    of_docs = rows.select("doc_id", F.explode(_kept(split_words(F.col("text")), span, k, lengths)).alias("f")).select("doc_id", "f.*")
+    of_docs = with_fingerprints(rows.select("doc_id", split_words(F.col("text")).alias("words")), "words", lengths, span, k).select("doc_id", F.explode_outer("kept").alias("f")).select("doc_id", "f.*")
     small = of_items.count() <= max_broadcast_rows
     met = of_docs.join(F.broadcast(of_items) if small else of_items, ["class", "hash"])
     met = met.select("doc_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
