@@ -30,7 +30,7 @@ HEADER = struct.Struct("<8sIIQQQ")  # magic, part, documents, tokens, start with
 #: Lengths of the four values of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCK_TOKENS = 1 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 2_000_000
 
 
 # ---- the code ---------------------------------------------------------------------------------
@@ -102,7 +102,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width, self.known = Tokenizer.from_file(path), np.dtype(width), {}
-        self.by_chunk, self.folds = splits_on_space(self.tokenizer), folds_case(self.tokenizer)
+        self.by_chunk, self.folds, self.points = splits_on_space(self.tokenizer), folds_case(self.tokenizer), splits_on_points(self.tokenizer)
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 and self.by_chunk else None
 
@@ -127,6 +127,8 @@ class ChunkEncoder:
             if self.folds:  # ASCII text that holds no special token may be folded first: fewer chunks differ
                 plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
                 texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+            if self.points:
+                texts = pc.replace_substring_regex(texts, r"([a-zA-Z0-9])([.,])", r"\1 \2")
             lists = pc.ascii_split_whitespace(texts)
             chunks, of = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
             of = of - of[0]
@@ -163,6 +165,12 @@ def folds_case(tokenizer) -> bool:
     return all(tokenizer.encode(c, add_special_tokens=False).ids == tokenizer.encode(c.lower(), add_special_tokens=False).ids for c in string.ascii_uppercase)
 
 
+def splits_on_points(tokenizer) -> bool:
+    """Whether a full stop or comma after a letter or digit begins a piece of its own, so that it may be set apart before."""
+    pairs = ((a + b + c, a + " " + b + c) for a in "ab Z x9 is".split() for b in ".," for c in ("", "b", "7", "..", "'s", '"', "<"))
+    return all(tokenizer.encode(x, add_special_tokens=False).ids == tokenizer.encode(y, add_special_tokens=False).ids for x, y in pairs)
+
+
 @lru_cache(maxsize=4)
 def chunk_encoder(path: str, width: str) -> ChunkEncoder:
     """One for each Python worker: what it has learned serves the worker's later tasks."""
