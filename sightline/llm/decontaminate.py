@@ -27,6 +27,10 @@ def gram(words: Column, i: Column, k: int) -> Column:
     return F.hash(*[F.get(words, i + j) for j in range(k)])
 
 
+def _every(words: Column, length: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - length), lambda i: F.struct(F.lit(length).alias("class"), gram(words, i, length).alias("hash"), i.alias("pos")))
+
+
 def with_fingerprints(df: DataFrame, words: str, lengths: list[int], span: int = SPAN, k: int = K) -> DataFrame:
     """Add ``kept``: (class, hash, pos) of the text's winnowed k-grams in class 0, and of all grams of each short length.
 
@@ -43,8 +47,7 @@ def with_fingerprints(df: DataFrame, words: str, lengths: list[int], span: int =
     winnowed = F.transform("_least", lambda x: F.struct(F.lit(0).alias("class"), F.shiftright(x, 32).cast("int").alias("hash"), (0x7FFFFFFF - F.pmod(x, F.lit(1 << 32))).cast("int").alias("pos")))
     lists = [F.coalesce(winnowed, none)]
     for length in lengths:
-        every = F.transform(F.sequence(F.lit(0), n - length), lambda i, c=length: F.struct(F.lit(c).alias("class"), gram(F.col(words), i, c).alias("hash"), i.alias("pos")))
-        lists.append(F.when(n >= length, every).otherwise(none))
+        lists.append(F.when(n >= length, _every(F.col(words), length)).otherwise(none))
     return df.withColumn("kept", F.concat(*lists) if len(lists) > 1 else lists[0]).drop("_packed", "_least")
 
 

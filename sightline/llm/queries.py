@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, token_files, url_filter
+from . import decontaminate, language_id, licenses, mixing, secrets, token_files, url_filter
 from .common import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,12 +51,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(_table(spark, sf_dir, "documents")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {}
