@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, mixing, near_dedup, secrets, token_files, url_filter
+from . import decontaminate, html_extract, language_id, licenses, mixing, near_dedup, secrets, token_files, url_filter
 from .common import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
+    "op8_html_extract": op8_html_extract,
     "op9_secrets": op9_secrets,
     "op10_near_dedup": op10_near_dedup,
 }
