@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, licenses, mixing, near_dedup, secrets, token_files, url_filter
+from . import bm25, decontaminate, html_extract, language_id, licenses, mixing, near_dedup, secrets, token_files, url_filter
 from .common import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op4_topk_search": op4_topk_search,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
