@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets form classes; one of each goes on. Its signature is cut into bands, and
 sharing a band's values makes two texts candidates. Buckets are not expanded into all their pairs:
-in each round every member is compared with one pivot of its bucket, and from then on only pairs of
-different components are still open. When few enough are open, all of them are compared, so that no
-candidate pair of different components stays untested.
+every member is compared with its bucket's smallest id, and from then on only pairs of different
+components are still open. Among the members of buckets that have any, an exact filter finds all
+pairs that can be similar enough (``_prefix_pairs``), so that no candidate pair stays untested, and
+texts that merely share a passage do not meet.
 
 A candidate pair is compared batch by batch of its signatures. With m of n values equal, the
 similarity's posterior (uniform prior) is Beta(m + 1, n - m + 1); the pair is dropped as soon as the
@@ -20,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -28,8 +29,6 @@ from .common import Workspace
 HASHES, BATCH = 252, 36
 #: Chance that two texts of just the wanted similarity share no band, and that a batch drops such a pair.
 NO_BAND, MISS = 1e-5, 1e-6
-#: Open pairs are all compared once there are no more of them than this for each bucket member, or after so many rounds of pivots.
-OPEN_PER_MEMBER, ROUNDS = 4, 5
 #: Ids are sent to all tasks up to this many; beyond, texts are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -165,6 +164,22 @@ def _sets(k: int):
     return run
 
 
+def _exploded(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), k)
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            of = np.repeat(np.arange(len(sets)), sizes)
+            if len(of):
+                hashes = np.concatenate(sets).view(np.int64)
+                for at in range(0, len(of), 1 << 18):
+                    some = slice(at, at + (1 << 18))
+                    rows = pa.array(of[some])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("component").take(rows), pa.array(sizes[of[some]]), pa.array(hashes[some])], ["doc_id", "component", "n", "shingle"])
+
+    return run
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,41 +255,43 @@ def find_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> Data
 
 def _linked(members: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int) -> DataFrame:
     """Confirmed links (a < b) that join all candidates that are joined at all."""
-    links = tested = None
-    number, placed = members.count(), members.withColumn("component", F.col("doc_id"))
-    for step in range(ROUNDS + 1):
-        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        kinds = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        split = space.table(kinds.where("kinds > 1").select("key", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("open")), f"split-{step}")
-        open_ = split.agg(F.sum("open")).head()[0] or 0
-        if not open_:
-            break
-        rest = placed.join(split.select("key"), "key", "left_semi")
-        last = step > 0 and (open_ <= OPEN_PER_MEMBER * number or step == ROUNDS)
-        if last:
-            other = rest.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-            pairs = rest.join(other, "key").where("doc_id < b and component <> component_b").select(F.col("doc_id").alias("a"), "b")
-        else:
-            order = F.struct(F.xxhash64(F.lit(step), "doc_id") if step else F.lit(0).alias("z"), F.col("doc_id"), F.col("component"))
-            pivots = rest.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("pivot_component"))
-            met = rest.join(pivots, "key").where("component <> pivot_component")
-            pairs = met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = space.table(pairs, f"pairs-{step}")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = _verified(pairs, signs, texts, space, k, percent, step)
-        links = new if links is None else links.union(new)
-        if last:
-            break
-        found = components(links, space, f"round-{step}")
-        placed = members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        placed = space.table(placed, f"placed-{step}")
-    return links if links is not None else members.sparkSession.createDataFrame([], "a long, b long")
-
-
-def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int, step: int) -> DataFrame:
+    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    star = members.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    tested = space.table(star.distinct(), "star")
+    links = _verified(tested, signs, texts, space, k, percent, "star")
+    placed = members.join(components(links, space, "first"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = space.table(placed, "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = space.table(placed.join(split, "key", "left_semi").select("doc_id", "component").distinct(), "rest")
+    if not rest.count():
+        return links
+    pairs = _prefix_pairs(rest, texts, space, k, percent).join(tested, ["a", "b"], "left_anti")
+    return links.union(_verified(space.table(pairs, "rest-pairs"), signs, texts, space, k, percent, "rest"))
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int) -> DataFrame:
+    """Pairs of different components that can be similar enough: an exact way for buckets that still hold several components.
+
+    In any one order of all shingles, two sets of n and more shingles that are similar enough share one of
+    each other's first n - ceil(n * percent / 100) + 1. Shingles of one component alone come first: they
+    cannot join two. Then come rare ones. Texts that share a common passage, but are otherwise their own,
+    spend their first places on what is their own, and never meet.
+    """
+    wanted = F.broadcast(rest) if rest.count() <= MAX_BROADCAST_IDS else rest
+    each = texts.join(wanted, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploded(k), "doc_id long, component long, n long, shingle long")
+    each = space.table(each, "shingles")
+    common = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("shingle", "df")
+    shared = each.join(common, "shingle")
+    places = Window.partitionBy("doc_id", "n")
+    first = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(places)).withColumn("nth", F.col("own") + F.row_number().over(places.orderBy("df", "shingle")))
+    first = first.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("doc_id", "component", "n", "shingle")
+    first = space.table(first, "prefixes")
+    other = first.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("m"))
+    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("component_b"))
+    return first.join(other, "shingle").where(near).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int, step: str) -> DataFrame:
     def with_both(pairs: DataFrame, what: DataFrame, column: str, short: str) -> DataFrame:
         one = pairs.join(what.select(F.col("doc_id").alias("a"), F.col(column).alias(f"{short}_a")), "a")
         return one.join(what.select(F.col("doc_id").alias("b"), F.col(column).alias(f"{short}_b")), "b")
