@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
 #: The bound of the training sample: about so many documents of each language, chosen by a hash of doc_id.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 500
 PASSAGES = 3
-DIMENSIONS, EPOCHS, RATE = 16, 4, 0.5
+DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
 #: Share of calibration texts that may be rejected, and the highest score that is ever rejected.
-REJECTED, REJECT_BELOW = 0.0005, 0.5
+REJECTED, REJECT_BELOW = 0.0001, 0.4
 UNDETERMINED = "und"
 _WINDOW = 1 << 18
 
@@ -133,12 +133,13 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str, bool]], seed: int = 1
     index, draw = {x: i for i, x in enumerate(languages)}, np.random.default_rng(seed)
     table = draw.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)) / DIMENSIONS
     layer, bias = draw.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
-    fit = [(b.astype(np.int64), c / c.sum(), index[x]) for b, c, x, held in samples if not held and len(b)]
+    fit = [(b, c, index[x]) for b, c, x, held in samples if not held and len(b)]
     steps = EPOCHS * len(fit)
     for step in range(steps):
         if step % len(fit) == 0:
             order = draw.permutation(len(fit))
-        buckets, weight, label = fit[order[step % len(fit)]]
+        buckets, counts, label = fit[order[step % len(fit)]]
+        buckets, weight = buckets.astype(np.int64), counts / counts.sum()
         rate = RATE * (1 - step / steps)
         own = table[buckets]
         hidden = weight @ own
@@ -150,7 +151,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str, bool]], seed: int = 1
         layer -= rate * 0.2 * np.outer(hidden, error)
         bias -= rate * 0.02 * error
     model = Model(languages, (table @ layer).astype(np.float32), bias)
-    held = [(b.astype(np.int64), c / c.sum(), index[x]) for b, c, x, out in samples if out and len(b)]
+    held = [(b, c / c.sum(), index[x]) for b, c, x, out in samples if out and len(b)]
     return calibrated(model, held) if held else model
 
 
@@ -189,7 +190,7 @@ def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 buckets, counts = bag(part)
                 if len(buckets):
-                    out.append((int(key), buckets.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), language, held))
+                    out.append((int(key), buckets.astype("<u2").tobytes(), np.minimum(counts, 0xFFFF).astype("<u2").tobytes(), language, held))
         yield pd.DataFrame(out, columns=["doc_id", "buckets", "counts", "lang", "held"])
 
 
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sample = known.join(F.broadcast(shares), "lang").where(drawn < F.col("share")).select("doc_id", "text", "lang")
     rows = sample.mapInPandas(_bags, "doc_id long, buckets binary, counts binary, lang string, held boolean").toPandas()
     rows = rows.sort_values(["doc_id", "lang", "buckets", "counts"], kind="stable")
-    return train([(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4"), x, h) for b, c, x, h in rows[["buckets", "counts", "lang", "held"]].itertuples(index=False)])
+    return train([(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2"), x, h) for b, c, x, h in rows[["buckets", "counts", "lang", "held"]].itertuples(index=False)])
 
 
 def _predicted(model: Model):
