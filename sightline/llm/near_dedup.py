@@ -3,9 +3,9 @@
 Texts with equal shingle sets form classes; one of each goes on. Its signature is cut into bands, and
 sharing a band's values makes two texts candidates. Buckets are not expanded into all their pairs:
 every member is compared with its bucket's smallest id, and from then on only pairs of different
-components are still open. Among the members of buckets that have any, an exact filter finds all
-pairs that can be similar enough (``_prefix_pairs``), so that no candidate pair stays untested, and
-texts that merely share a passage do not meet.
+components are still open. Texts that share a pivot and are not yet of one component meet in blocks of
+bounded size, where those pairs are compared and only links come out: no candidate pair of different
+components stays untested, and no list of pairs is made.
 
 A candidate pair is compared batch by batch of its signatures. With m of n values equal, the
 similarity's posterior (uniform prior) is Beta(m + 1, n - m + 1); the pair is dropped as soon as the
@@ -19,9 +19,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -29,6 +30,8 @@ from .common import Workspace
 HASHES, BATCH = 252, 36
 #: Chance that two texts of just the wanted similarity share no band, and that a batch drops such a pair.
 NO_BAND, MISS = 1e-5, 1e-6
+#: Texts, and bytes of their sets, of a block.
+BLOCK_TEXTS, BLOCK_BYTES = 2048, 16 << 20
 #: Ids are sent to all tasks up to this many; beyond, texts are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -164,30 +167,12 @@ def _sets(k: int):
     return run
 
 
-def _exploded(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column("text"), k)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            of = np.repeat(np.arange(len(sets)), sizes)
-            if len(of):
-                hashes = np.concatenate(sets).view(np.int64)
-                for at in range(0, len(of), 1 << 18):
-                    some = slice(at, at + (1 << 18))
-                    rows = pa.array(of[some])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("component").take(rows), pa.array(sizes[of[some]]), pa.array(hashes[some])], ["doc_id", "component", "n", "shingle"])
-
-    return run
-
-
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                one, two = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                keep.append(similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -259,36 +244,72 @@ def _linked(members: DataFrame, signs: DataFrame, texts: DataFrame, space: Works
     star = members.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     tested = space.table(star.distinct(), "star")
     links = _verified(tested, signs, texts, space, k, percent, "star")
-    placed = members.join(components(links, space, "first"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    found = components(links, space, "first").withColumnRenamed("doc_id", "b")
+    placed = tested.join(found, "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     placed = space.table(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = space.table(placed.join(split, "key", "left_semi").select("doc_id", "component").distinct(), "rest")
-    if not rest.count():
-        return links
-    pairs = _prefix_pairs(rest, texts, space, k, percent).join(tested, ["a", "b"], "left_anti")
-    return links.union(_verified(space.table(pairs, "rest-pairs"), signs, texts, space, k, percent, "rest"))
+    split = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a")
+    rest = space.table(placed.join(split, "a", "left_semi"), "rest")
+    return links.union(_within(rest, signs, texts, space, k, percent))
 
 
-def _prefix_pairs(rest: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int) -> DataFrame:
-    """Pairs of different components that can be similar enough: an exact way for buckets that still hold several components.
+def _within(rest: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int) -> DataFrame:
+    """Links between components among texts that share a pivot: any two texts of a bucket do.
 
-    In any one order of all shingles, two sets of n and more shingles that are similar enough share one of
-    each other's first n - ceil(n * percent / 100) + 1. Shingles of one component alone come first: they
-    cannot join two. Then come rare ones. Texts that share a common passage, but are otherwise their own,
-    spend their first places on what is their own, and never meet.
+    A pivot's texts are dealt into blocks of bounded rows and bytes, and each two blocks meet in one
+    task, where pairs of different components are compared and only links come out.
     """
-    wanted = F.broadcast(rest) if rest.count() <= MAX_BROADCAST_IDS else rest
-    each = texts.join(wanted, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploded(k), "doc_id long, component long, n long, shingle long")
-    each = space.table(each, "shingles")
-    common = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("shingle", "df")
-    shared = each.join(common, "shingle")
-    places = Window.partitionBy("doc_id", "n")
-    first = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(places)).withColumn("nth", F.col("own") + F.row_number().over(places.orderBy("df", "shingle")))
-    first = first.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("doc_id", "component", "n", "shingle")
-    first = space.table(first, "prefixes")
-    other = first.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("m"))
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("component_b"))
-    return first.join(other, "shingle").where(near).select(F.col("doc_id").alias("a"), "b").distinct()
+    ids = space.table(rest.select(F.col("b").alias("doc_id")).distinct(), "rest-ids")
+    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    held = space.table(sets.join(signs, "doc_id"), "rest-sets", "uncompressed")
+    own = rest.join(held.withColumnRenamed("doc_id", "b"), "b")
+    sizes = rest.join(held.select(F.col("doc_id").alias("b"), F.length("shingles").alias("bytes")), "b").groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    blocks = sizes.select("a", F.ceil(F.greatest(F.col("rows") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = own.join(blocks, "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("a", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "b", "component", "sign", "shingles")
+    links = dealt.groupBy("a", "one", "two").applyInPandas(_met(least_equal(percent / 100), percent), "a long, b long")
+    return space.table(links.distinct(), "rest-links")
+
+
+def _met(least: list[int], percent: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["b", "component"], kind="stable")
+        ids, sides = frame["b"].to_numpy(), frame["block"].to_numpy()
+        signs = np.frombuffer(b"".join(frame["sign"]), dtype=np.uint32).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        label = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        one, two, out = frame["one"].iloc[0], frame["two"].iloc[0], []
+        for x in range(len(ids) - 1):
+            open_ = label[x + 1 :] != label[x]
+            if one != two:
+                open_ &= sides[x + 1 :] != sides[x]
+            smaller, larger = np.minimum(sizes[x + 1 :], sizes[x]), np.maximum(sizes[x + 1 :], sizes[x])
+            left = np.flatnonzero(open_ & (100 * smaller >= percent * larger)) + x + 1
+            equal = np.zeros(len(ids), dtype=np.int64)
+            for i, need in enumerate(least):
+                at = slice(i * BATCH, (i + 1) * BATCH)
+                equal[left] += (signs[left, at] == signs[x, at]).sum(axis=1)
+                left = left[equal[left] >= need]
+                if not len(left):
+                    break
+            for y in left.tolist():
+                if label[x] != label[y] and ids[x] != ids[y] and similar(sets[x], sets[y], percent):
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    label[label == label[y]] = label[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are, as a share of their union, alike enough."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
 
 
 def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int, step: str) -> DataFrame:
