@@ -4,8 +4,8 @@ A text's letters (case-folded; everything else separates words) give subwords of
 word edges, hashed into buckets. A text is the average of its subwords' embeddings, and a linear
 layer with softmax scores the languages. Both are trained together by stochastic gradient descent in
 numpy, on whole documents and on short passages of them, so that short texts are scored well too.
-Part of the training documents set the softmax's temperature and the score under which a prediction
-is rejected: at most REJECTED of their texts fall below it.
+Part of the training documents set the softmax's temperature, the score under which a prediction is
+rejected, and the share of known subwords under which it is.
 
 Since everything after the average is linear, prediction needs the product of the two layers alone:
 one row of language scores for each bucket.
@@ -24,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
 #: The bound of the training sample: about so many documents of each language, chosen by a hash of doc_id.
 PER_LANGUAGE = 500
 PASSAGES = 3
 DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
-#: Share of calibration texts that may be rejected, and the highest score that is ever rejected.
-REJECTED, REJECT_BELOW = 0.0001, 0.4
+#: Share of calibration texts that may be rejected, and the highest score that is ever rejected. A text is rejected
+#: too if fewer of its subwords were seen in training than half of what that share of calibration texts has.
+REJECTED, REJECT_BELOW = 0.0001, 0.3
 UNDETERMINED = "und"
 _WINDOW = 1 << 18
 
@@ -92,13 +95,15 @@ class Model:
     languages: list[str]
     rows: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray | None = None
     temperature: float = 1.0
     threshold: float = 0.0
+    known: float = 0.0
 
-    def logits(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each text's languages before softmax, and whether it has letters. Memory does not grow with a text's length but for its letters."""
+    def logits(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of each text's languages before softmax, whether it has letters, and its share of known subwords. Memory does not grow with a text's length but for its letters."""
         codes, starts = _codes(texts)
-        total, number = np.zeros((len(texts), len(self.languages)), dtype=np.float64), np.zeros(len(texts))
+        total, number, known = np.zeros((len(texts), len(self.languages)), dtype=np.float64), np.zeros(len(texts)), np.zeros(len(texts))
         for a in range(0, len(codes), _WINDOW):
             for size in SIZES:
                 at, buckets = _subwords(codes[a : a + _WINDOW + size - 1], size)
@@ -107,17 +112,19 @@ class Model:
                     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     total[of[first]] += np.add.reduceat(self.rows[buckets], first, axis=0)
                     number[of[first]] += np.diff(np.r_[first, len(of)])
-        return total / np.maximum(number, 1)[:, None] + self.bias, number > 0
+                    if self.seen is not None:
+                        known[of[first]] += np.add.reduceat(self.seen[buckets], first)
+        return total / np.maximum(number, 1)[:, None] + self.bias, number > 0, known / np.maximum(number, 1)
 
     def predict(self, texts: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score from 0 to 1 and whether the prediction is rejected."""
         if not self.languages or not len(texts):
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-        logits, lettered = self.logits(texts)
+        logits, lettered, known = self.logits(texts)
         shares = softmax(logits / self.temperature)
         best = shares.argmax(axis=1)
         score = np.where(lettered, shares[np.arange(len(best)), best], 0.0)
-        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)], score, ~lettered | (score < self.threshold)
+        return [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)], score, ~lettered | (score < self.threshold) | (known < self.known)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -150,7 +157,11 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str, bool]], seed: int = 1
         table[buckets] = own
         layer -= rate * 0.2 * np.outer(hidden, error)
         bias -= rate * 0.02 * error
-    model = Model(languages, (table @ layer).astype(np.float32), bias)
+    seen = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
+    for b, _, _ in fit:
+        seen[b] = 1
+    # A subword that was never seen says nothing.
+    model = Model(languages, (table @ layer * seen[:, None]).astype(np.float32), bias, seen)
     held = [(b, c / c.sum(), index[x]) for b, c, x, out in samples if out and len(b)]
     return calibrated(model, held) if held else model
 
@@ -166,6 +177,7 @@ def calibrated(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]]) ->
     model.temperature = min((0.05 * 1.25**k for k in range(24)), key=loss)
     scores = softmax(logits / model.temperature).max(axis=1)
     model.threshold = float(min(REJECT_BELOW, np.quantile(scores, REJECTED)))
+    model.known = 0.5 * float(np.quantile([w @ model.seen[b] for b, w, _ in held], REJECTED))
     return model
 
 
@@ -208,20 +220,20 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return train([(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2"), x, h) for b, c, x, h in rows[["buckets", "counts", "lang", "held"]].itertuples(index=False)])
 
 
-def _predicted(model: Model):
+def _predicted(model: Model, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             found = [model.predict(texts[a : a + 100]) for a in range(0, len(texts), 100)]
             columns = [pa.array([x for f in found for x in f[0]], pa.string()), *(pa.array(np.concatenate([f[k] for f in found]) if found else [], kind) for k, kind in ((1, pa.float64()), (2, pa.bool_())))]
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + columns, [batch.schema.names[i] for i in keep] + ["_lang", "_score", "_rejected"])
+            keep = [i for i, name in enumerate(batch.schema.names) if name != text]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + columns, [batch.schema.names[i] for i in keep] + names)
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, carry: Sequence[str] | None = None) -> DataFrame:
-    """The ``carry`` columns of every row (all by default) with _lang, _score and _rejected.
+    """The ``carry`` columns of every row (all by default), and after them _lang, _score and _rejected (with more underscores where a column has that name).
 
     Null text and text without a letter are ``und`` with score 0 and rejected. A model that has
     learned nothing says ``und`` and rejects nothing. Repeated rows are judged alike; an empty table
@@ -229,8 +241,9 @@ def identify(docs: DataFrame, model: Model, carry: Sequence[str] | None = None)
     """
     carried = docs.select(*[F.col(f"`{c}`") for c in (carry if carry is not None else docs.columns)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried.columns], F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(_predicted(model), f"{schema}, _lang string, _score double, _rejected boolean")
+    text, *names = fresh(carried.columns, "_text", "_lang", "_score", "_rejected")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried.columns], F.col("text").cast("string").alias(text))
+    return rows.mapInArrow(_predicted(model, text, names), f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
 def predictions(docs: DataFrame) -> DataFrame:

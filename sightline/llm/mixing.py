@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, Workspace
+from .common import WHITE_SPACE, Workspace, fresh
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Slopes of the sources' weights over time, in the sources' order, repeating: late, early, even.
@@ -112,8 +112,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Rows find their positions by id and content. Rows alike in both are numbered, so each gets its own.
     """
     plan = plan_mix(docs, **options).where("copies > 0")
-    lists = plan.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("order").alias("_hash")).agg(F.sort_array(F.collect_list("positions")).alias("_lists"))
-    rows = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": _content(F.col("source"), F.col("text"))})
-    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key")))
-    placed = rows.join(lists, ["_key", "_hash"]).where("_number <= size(_lists)").withColumn("_position", F.explode(F.element_at("_lists", F.col("_number"))))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position", "_key").select(*docs.columns)
+    key, content, lists, number, position_ = fresh(docs.columns, "_key", "_hash", "_lists", "_number", "_position")
+    found = plan.groupBy(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("order").alias(content)).agg(F.sort_array(F.collect_list("positions")).alias(lists))
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), content: _content(F.col("source"), F.col("text"))})
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(key, content).orderBy(key)))
+    placed = rows.join(found, [key, content]).where(F.col(number) <= F.size(lists)).withColumn(position_, F.explode(F.element_at(lists, F.col(number))))
+    return placed.repartitionByRange(position_).sortWithinPartitions(position_, key).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -85,4 +85,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_ASCII_LOWER.format("text"))
+
+
+def _rules_sql() -> tuple[str, str]:
+    rules, verdicts = [], []
+    for kind, text in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        host, _, path = text.partition("/")
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        rules.append(f"{fits} THEN '{text}'")
+        verdicts.append(f"{fits} THEN '{kind}'")
+    return " ".join(rules), " ".join(verdicts)
+
+
+ORACLES: dict[str, str] = {
+    "op2_url_filter": rf"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, {_ASCII_LOWER.format("regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM cut)
+SELECT page_id, host, path, CASE {_rules_sql()[0]} END AS rule,
+  coalesce(CASE {_rules_sql()[1]} END, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM parts""",
+    "op3_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[q : q + least(len(w), 13) - 1], ' ') AS win FROM i, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(q) WHERE len(w) > 0),
+doc_windows AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS win FROM d, (SELECT DISTINCT n FROM item_windows) AS k, unnest(range(1, len(w) - n + 2)) AS t(s) WHERE len(w) >= n),
+met AS (SELECT doc_id, s, n, item_id FROM doc_windows JOIN item_windows USING (n, win)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) AS h FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op10_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[q : q + 2], ' ') AS x FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS t(q) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""",
+}

@@ -278,15 +278,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     ranked = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, dtype="<u4")
     rank_of[ranked] = np.arange(len(ranked))
-    _put(folder, "ranks.bin", ranked.astype("<u4").tobytes())
+    _put(folder, "ranks.bin", MAGIC + ranked.astype("<u4").tobytes())
     parts = table.mapInPandas(_written(folder, rank_of, width), "part int, n_tokens long").groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
     before = np.r_[0, parts["n"].to_numpy(dtype=np.int64).cumsum()[:-1]] if len(parts) else np.zeros(0)
-    _put(folder, "parts.bin", np.c_[parts["part"].to_numpy(dtype=np.int64), before].astype("<i8").tobytes())
+    _put(folder, "parts.bin", MAGIC + np.c_[parts["part"].to_numpy(dtype=np.int64), before].astype("<i8").tobytes())
     space.clear()
 
 
 def _side_file(spark: SparkSession, folder: str, name: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(f"{folder}/{name}").select("content").head()[0])
+    content = bytes(spark.read.format("binaryFile").load(f"{folder}/{name}").select("content").head()[0])
+    if not content.startswith(MAGIC):
+        raise ValueError(f"{name} is not of this format")
+    return content[len(MAGIC) :]
 
 
 def _decoded(ids: np.ndarray, before: dict[int, int]):
