@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, language_id, mixing, near_dedup, token_files
-from sightline.llm.common import Workspace
+from sightline.llm.common import Workspace, fresh
 from sightline.llm.queries import tokenizer_path
 
 #: Words of a shingle and least similarity (percent) of near-duplicates in a corpus.
@@ -23,25 +23,28 @@ def _columns(docs: DataFrame) -> list:
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected; a document without a language gets the predicted one."""
-    found = language_id.identify(docs, language_id.fit(docs)).where(~F.col("_rejected"))
-    filled = F.coalesce(F.col("lang").cast("string"), F.when(F.col("_lang") != language_id.UNDETERMINED, F.col("_lang")))
-    return found.withColumn("lang", filled).select(*_columns(docs))
+    found = language_id.identify(docs, language_id.fit(docs))
+    language, _, rejected = found.columns[-3:]
+    filled = F.coalesce(F.col("lang").cast("string"), F.when(F.col(language) != language_id.UNDETERMINED, F.col(language)))
+    return found.where(~F.col(rejected)).withColumn("lang", filled).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group; of repeated rows of one id, one. A document without an id stays."""
     found = near_dedup.find_near_duplicates(docs, k=SHINGLE_WORDS, percent=SIMILAR)
-    gone = Workspace(spark, "near-stage").table(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    numbered = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id", "text")))
-    return numbered.where("_nth = 1 or doc_id is null").select(*_columns(docs))
+    out, nth = fresh(docs.columns, "_gone", "_nth")
+    gone = Workspace(spark, "near-stage").table(found.where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(out), "left_anti")
+    numbered = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id", "text")))
+    return numbered.where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in spans of the benchmark."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = Workspace(spark, "decontaminate-stage").table(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*_columns(docs))
+    (out,) = fresh(docs.columns, "_gone")
+    gone = Workspace(spark, "decontaminate-stage").table(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias(out)).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(out)), "left_anti").select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
