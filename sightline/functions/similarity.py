@@ -33,6 +33,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / ((norm(a) + 1e-8) * (norm(b) + 1e-8))
 
 
+def scaled(a: Column) -> Column:
+    """The vector over its norm plus 1e-8: inner products of such vectors are ``cosine``'s values."""
+    return F.transform(F.arrays_zip(a.alias("x"), F.array_repeat(norm(a) + 1e-8, F.size(a)).alias("n")), lambda z: z["x"].cast("double") / z["n"])
+
+
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
     size = norm(a)
