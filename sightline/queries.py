@@ -11,7 +11,7 @@ from . import views
 from .functions import hashing, texts, urls
 from .functions import severity as sev
 from .functions import similarity as sim
-from .operators import crawl, custody, graph, sightings, stats
+from .operators import crawl, custody, graph, registry, sightings, stats
 from .plans import detection
 from .streaming import pipeline
 
@@ -192,9 +192,9 @@ def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.platform_counts(views.sightings(spark, sf_dir))
 
 
-@query("SELECT event_id AS node_id, CASE WHEN event_id <> first_value(event_id) OVER w THEN first_value(event_id) OVER w END AS parent_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("SELECT event_id AS node_id, CASE WHEN event_id <> first_value(event_id) OVER w THEN first_value(event_id) OVER w ELSE -1 END AS parent_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def default_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.default_parents(_nodes(spark, sf_dir).drop("parent_id"), "asset_id", "node_id", ["ts", "node_id"]).select("node_id", "parent_id")
+    return graph.default_parents(_nodes(spark, sf_dir).drop("parent_id"), "asset_id", "node_id", ["ts", "node_id"]).select("node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
 
 
 @query(f"WITH {_SIGHTINGS} SELECT sighting_id, asset_id FROM sightings WHERE fusion_score >= 0.87")
@@ -590,12 +590,92 @@ def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: stateful.token_bucket(s.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("seconds")), "user_id", "seconds", 0.0005))
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; one of this machine where it names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sightline-streams").rstrip("/")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, query) -> DataFrame:
     """Run a query over the events file as a stream until all is read; what it wrote."""
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sightline-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{_stream_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = views.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
     pipeline.run_once(query(stream), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+# ---- registry ---------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id AS asset_id, vec_id IS NOT NULL AS stored FROM embeddings")
+def register_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All assets registered in two rounds: ids are dense and unique."""
+    rows = views.fingerprints(spark, sf_dir)
+    empty = rows.limit(0).select(F.lit(0).cast("long").alias("index_id"), "asset_id", "clip")
+    half = registry.registered(empty, rows.where("asset_id % 2 = 0"), ["asset_id"])
+    both = registry.registered(half, rows.where("asset_id % 2 = 1"), ["asset_id"])
+    total = rows.count()
+    return both.select("asset_id", F.col("index_id").between(0, total - 1).alias("stored"))
+
+
+@query("SELECT c_custkey AS org_id FROM customer WHERE c_custkey = 77 AND c_custkey % 2 = 1")
+def api_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    orgs = views.table(spark, sf_dir, "customer").select(c.alias("org_id"), hashing.key_hash(F.concat(F.lit("key-of-organisation-"), c.cast("string"))).alias("api_key_hash"), (c % 2 == 1).alias("active"))
+    return registry.organisation(orgs, F.lit("key-of-organisation-77")).select("org_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS asset_id, CAST(event_id AS VARCHAR) AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events WHERE event_id % 20 = 0),
+chain AS (SELECT asset_id, position, content, repeat('0', 64) AS prev, sha256(content || '|' || repeat('0', 64)) AS own FROM e WHERE position = 0
+UNION ALL SELECT e.asset_id, e.position, e.content, c.own, sha256(e.content || '|' || c.own) FROM chain c JOIN e ON e.asset_id = c.asset_id AND e.position = c.position + 1)
+SELECT asset_id, CAST(position AS INTEGER) AS position, content, prev, own FROM chain""")
+def custody_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("asset_id"), "ts", "event_id")
+    return registry.appended(rows.where("event_id % 40 = 0"), rows.where("event_id % 40 <> 0"), "asset_id", ["ts", "event_id"], F.col("event_id").cast("string"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id * 2 ELSE -1 END AS score, page_id % 3 = 0 AS cache_hit FROM pages")
+def cache_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "url")
+    stored = pages.where("page_id % 3 = 0").groupBy("url").agg((F.max("page_id") * 2).alias("score"))
+    return registry.answered(pages, stored, "url").select("page_id", F.coalesce("score", F.lit(-1)).alias("score"), "cache_hit")
+
+
+@query(f"WITH {_SIGHTINGS} SELECT time_bucket(INTERVAL 1 DAY, detected_at) AS day, count(*) AS n, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM sightings GROUP BY 1")
+def sighting_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.timeline(views.sightings(spark, sf_dir), "detected_at")
+
+
+@query("SELECT n AS page FROM range(0, 40, 4) AS t(n)")
+def paginated_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir("/tmp/sightline-checkpoints")
+    links = spark.range(37).select(F.col("id").alias("page"), (F.col("id") + 4).alias("next")).where("next < 40")
+    return registry.pages_reached(links, spark.range(1))
+
+
+@query(f"WITH {_DNA} SELECT q.query_id, a.asset_id FROM probes q JOIN fingerprints a ON q.phash_hi = a.phash_hi AND q.phash_lo = a.phash_lo")
+def hash_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, assets = views.probes(spark, sf_dir).select("query_id", "phash_hi", "phash_lo"), views.fingerprints(spark, sf_dir).select("asset_id", "phash_hi", "phash_lo")
+    return probes.join(assets, ["phash_hi", "phash_lo"]).select("query_id", "asset_id")
+
+
+@query("SELECT user_id % 10 AS band, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std FROM events GROUP BY 1")
+def band_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.moments(views.table(spark, sf_dir, "events").withColumn("band", F.col("user_id") % 10), ["band"], "value")
+    return rows.select("band", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+@query(f"WITH {_SIGHTINGS} SELECT sighting_id, asset_id, severity FROM sightings WHERE severity <> 'MISS'")
+def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl stream from arrival to storage: classified, filtered and stored batch by batch."""
+    import uuid
+
+    base = f"{_stream_folder(spark)}/stored-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
+    scored = events.select(F.col("event_id").alias("sighting_id"), F.col("user_id").alias("asset_id"), (((F.col("event_id") * 7919) % 1000).cast("double") / 1000).alias("fusion_score"))
+    found = pipeline.staged(scored, lambda s: pipeline.deduplicated_for_ever(s, "sighting_id"), lambda s: pipeline.classified(s, "fusion_score"))
+    pipeline.stored(found, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sighting_id", "asset_id", "severity")

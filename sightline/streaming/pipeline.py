@@ -11,10 +11,14 @@ from ..functions import severity as sev
 from ..operators import stats
 
 
-def deduplicated(stream: DataFrame, key: str, at: str, delay: str | None = "1 day") -> DataFrame:
-    """Each key's first row: state lives for ``delay`` of event time, or for ever with None."""
-    timed = stream.withColumn(at, F.col(at).cast("timestamp"))
-    return timed.dropDuplicates([key]) if delay is None else timed.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def deduplicated(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
+    """Each key's first row within ``delay`` of event time, for which its state is kept."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+
+
+def deduplicated_for_ever(stream: DataFrame, key: str) -> DataFrame:
+    """Each key's first row, whenever it comes; the state grows with the number of keys."""
+    return stream.dropDuplicates([key])
 
 
 def velocity(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
