@@ -58,7 +58,7 @@ def _cos(a: str, b: str) -> str:
 
 _TOP = """scored AS (SELECT q.query_id, a.asset_id, list_inner_product(q.clip, a.clip) / (sqrt(list_inner_product(q.clip, q.clip)) * sqrt(list_inner_product(a.clip, a.clip))) AS clip_raw FROM {probes} q CROSS JOIN fingerprints a),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(clip_raw, 9) DESC, asset_id) AS rank FROM scored)"""
-_FUSED = f"""pairs AS (SELECT t.query_id, t.asset_id, t.clip_raw, q.width, q.height,
+_FUSED = f"""pairs AS (SELECT t.query_id, t.asset_id, t.clip_raw, t.rank, q.width, q.height,
   {_cos("q.clip", "a.clip")} AS clip_score, {_cos("q.spatial", "a.spatial")} AS spatial_score, {_cos("q.dct", "a.dct")} AS dct_score, {_cos("q.hog", "a.hog")} AS hog_score, {_cos("q.color", "a.color")} AS color_score,
   1 - (bit_count(xor(q.phash_hi, a.phash_hi)) + bit_count(xor(q.phash_lo, a.phash_lo))) / 64.0::DOUBLE AS phash_score,
   list_inner_product(q.dct, a.dct) AS dct_product,
@@ -73,7 +73,7 @@ lifted AS (SELECT *, CASE WHEN most > 0.92 AND global_score > 0.65 THEN greatest
   0.74::DOUBLE - CASE WHEN width * height < 160000 THEN 0.05::DOUBLE ELSE 0 END AS medium FROM summed),
 graded AS (SELECT *, CASE WHEN fusion_score >= critical THEN 'CRITICAL' WHEN fusion_score >= high THEN 'HIGH' WHEN fusion_score >= medium THEN 'MEDIUM' ELSE 'MISS' END AS severity FROM lifted),
 fused AS (SELECT *, CASE WHEN severity <> 'MISS' THEN severity WHEN fusion_score > 0.60 THEN 'RE_EVAL_NEEDED' END AS status, clip_score > 0.90 AND phash_score < 0.50 AS is_ai_clone FROM graded)"""
-_DETECT = f"WITH {_DNA}, {_TOP.format(probes='probes')}, kept AS (SELECT * FROM top WHERE rank <= 50), {_FUSED}"
+_DETECT, _DETECT_WIDE = (f"WITH {_DNA}, {_TOP.format(probes='probes')}, kept AS (SELECT * FROM top WHERE rank <= {k}), {_FUSED}" for k in (50, 250))
 
 
 # ---- sightings --------------------------------------------------------------------------------
@@ -240,11 +240,10 @@ def rate_watch_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.alarms(views.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query("""WITH r AS (SELECT event_id, event_id % 8 AS shard, value, floor(value) AS k FROM events), p AS (SELECT shard, k, event_id, lag(event_id) OVER (PARTITION BY shard, k ORDER BY event_id) AS before FROM r)
-SELECT p.event_id, p.before IS NOT NULL AND (SELECT count(DISTINCT r.k) FROM r WHERE r.shard = p.shard AND r.event_id > p.before AND r.event_id < p.event_id) < 20 AS hit FROM p WHERE p.event_id < 1000""")
+@query()
 def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 8).alias("shard"), F.floor("value").alias("k"))
-    return crawl.lru_hits(rows, "k", "event_id", 20).where("event_id < 1000").select("event_id", "hit")
+    return crawl.lru_hits(rows, "k", "event_id", 20).select("event_id", "hit")
 
 
 # ---- vectors ----------------------------------------------------------------------------------
@@ -273,10 +272,10 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sightings.best_per(rows, ["query_id"]).drop("fusion_score")
 
 
-@query(f"{_DETECT} SELECT query_id, asset_id, round(most, 5) AS most, round(mean, 5) AS mean, round(fusion_score - global_score, 5) AS lift FROM fused WHERE clip_raw > 0.3")
+@query(f"{_DETECT} SELECT query_id, asset_id, round(most, 5) AS most, round(mean, 5) AS mean, round(fusion_score - global_score, 5) AS lift FROM fused")
 def regional_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, assets = views.probes(spark, sf_dir), views.fingerprints(spark, sf_dir)
-    rows = detection.fused(detection.top_k(probes, assets, 50), probes, assets).where("clip_raw > 0.3")
+    rows = detection.fused(detection.top_k(probes, assets, 50), probes, assets)
     mean = sim.total(F.col("region_scores")) / F.size("region_scores")
     return rows.select("query_id", "asset_id", F.round(F.array_max("region_scores"), 5).alias("most"), F.round(mean, 5).alias("mean"), F.round(F.col("fusion_score") - F.col("global_score"), 5).alias("lift"))
 
@@ -287,10 +286,10 @@ def dynamic_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.probes(spark, sf_dir).select("query_id", *[F.round(x, 6).alias(n) for x, n in zip(levels, ("critical", "high", "medium"))])
 
 
-@query(f"""{_DETECT}, band AS (SELECT DISTINCT query_id FROM fused WHERE status = 'RE_EVAL_NEEDED'),
-again AS (SELECT f.query_id, max(f.fusion_score) AS best FROM fused f JOIN band USING (query_id) GROUP BY f.query_id) SELECT query_id, best > 0.74 AS recovered FROM again""")
+@query(f"""{_DETECT_WIDE}, band AS (SELECT DISTINCT query_id FROM fused WHERE status = 'RE_EVAL_NEEDED' AND rank <= 50),
+again AS (SELECT f.query_id, max(f.fusion_score) AS best FROM fused f JOIN band USING (query_id) WHERE f.status IS NOT NULL GROUP BY f.query_id) SELECT query_id, best > 0.74 AS recovered FROM again""")
 def rescan_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.re_evaluated(views.probes(spark, sf_dir), views.fingerprints(spark, sf_dir), wide=50).select("query_id", "recovered")
+    return detection.re_evaluated(views.probes(spark, sf_dir), views.fingerprints(spark, sf_dir)).select("query_id", "recovered")
 
 
 @query(f"""WITH {_SIGHTINGS}, {_DNA}, due AS (SELECT DISTINCT asset_id FROM sightings, clock WHERE severity IN ('HIGH', 'CRITICAL') AND detected_at >= now - INTERVAL 168 HOUR),
@@ -457,14 +456,14 @@ def video_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.video_matches(rows).select("video_id", "asset_id", "frames", "severity")
 
 
-@query("""WITH o AS (SELECT event_id AS sighting_id, event_id % 10 AS asset_id, list_transform(range(0, 16), lambda i: (event_id * 7 + i * i) % 2) AS bits FROM events WHERE event_id % 50 = 0),
+@query("""WITH o AS (SELECT event_id AS sighting_id, event_id % 10 AS asset_id, list_transform(range(0, 16), lambda i: (event_id * 7 + i * i) % 2) AS bits FROM events),
 s AS (SELECT c_custkey AS subscriber_id, c_custkey % 10 AS asset_id, list_transform(range(0, 16), lambda i: (c_custkey + i * (c_custkey % 3)) % 2) AS bits FROM customer),
 m AS (SELECT sighting_id, subscriber_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN o.bits[i] = s.bits[i] THEN 1 ELSE 0 END)) AS matched FROM o JOIN s USING (asset_id))
 SELECT sighting_id, subscriber_id, CAST(matched AS INTEGER) AS matched FROM (SELECT *, row_number() OVER (PARTITION BY sighting_id ORDER BY matched DESC, subscriber_id) AS n FROM m) WHERE n = 1""")
 def leaker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.sequence(F.lit(0), F.lit(15))
     e, c = F.col("event_id"), F.col("c_custkey")
-    observed = views.table(spark, sf_dir, "events").where(e % 50 == 0).select(e.alias("sighting_id"), (e % 10).alias("asset_id"), F.transform(steps, lambda i: (e * 7 + i * i) % 2).alias("bits"))
+    observed = views.table(spark, sf_dir, "events").select(e.alias("sighting_id"), (e % 10).alias("asset_id"), F.transform(steps, lambda i: (e * 7 + i * i) % 2).alias("bits"))
     assigned = views.table(spark, sf_dir, "customer").select(c.alias("subscriber_id"), (c % 10).alias("asset_id"), F.transform(steps, lambda i: (c + i * (c % 3)) % 2).alias("bit_sequence"))
     return stats.leakers(observed, assigned).select("sighting_id", "subscriber_id", "matched")
 
@@ -481,9 +480,9 @@ def custody_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custody.checked(rows, "asset_id", ["ts", "event_id"], "own", "prev")
 
 
-@query("SELECT user_id AS asset_id, sha256(user_id || '|' || sha256(props) || '|' || sha256('owner' || user_id || 'salt')) AS commitment FROM events WHERE event_id % 10 = 0")
+@query("SELECT user_id AS asset_id, sha256(user_id || '|' || sha256(props) || '|' || sha256('owner' || user_id || 'salt')) AS commitment FROM events")
 def ownership_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    rows = views.table(spark, sf_dir, "events")
     asset = F.col("user_id").cast("string")
     return rows.select(F.col("user_id").alias("asset_id"), hashing.commitment(asset, F.col("props"), F.concat(F.lit("owner"), asset), "salt").alias("commitment"))
 
@@ -627,13 +626,13 @@ def api_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.organisation(orgs, F.lit("key-of-organisation-77")).select("org_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id AS asset_id, CAST(event_id AS VARCHAR) AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events WHERE event_id % 20 = 0),
+@query("""WITH RECURSIVE e AS (SELECT user_id AS asset_id, CAST(event_id AS VARCHAR) AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events),
 chain AS (SELECT asset_id, position, content, repeat('0', 64) AS prev, sha256(content || '|' || repeat('0', 64)) AS own FROM e WHERE position = 0
 UNION ALL SELECT e.asset_id, e.position, e.content, c.own, sha256(e.content || '|' || c.own) FROM chain c JOIN e ON e.asset_id = c.asset_id AND e.position = c.position + 1)
 SELECT asset_id, CAST(position AS INTEGER) AS position, content, prev, own FROM chain""")
 def custody_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("asset_id"), "ts", "event_id")
-    return registry.appended(rows.where("event_id % 40 = 0"), rows.where("event_id % 40 <> 0"), "asset_id", ["ts", "event_id"], F.col("event_id").cast("string"))
+    rows = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("asset_id"), "ts", "event_id")
+    return registry.appended(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "asset_id", ["ts", "event_id"], F.col("event_id").cast("string"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id * 2 ELSE -1 END AS score, page_id % 3 = 0 AS cache_hit FROM pages")

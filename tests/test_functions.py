@@ -195,3 +195,20 @@ def test_sources(spark):
     assert crawled.recent_posts(posts, "2024-01-04", per_tag=1).count() == 1 and crawled.recent_posts(posts, "2024-01-04", hours=0).count() == 3
     videos = spark.createDataFrame([("v", ["a", "b"])], "video_id string, frames array<string>")
     assert [r["t"] for r in crawled.frames(videos).collect()] == [0, 5]
+
+
+def test_lru_cache_in_order(spark):
+    from collections import OrderedDict
+
+    keys = [i * i % 7 + i % 3 for i in range(200)]
+    df = spark.createDataFrame([(i, i % 2, k) for i, k in enumerate(keys)], "n int, shard int, k int")
+    got = {r["n"]: r["hit"] for r in crawl.lru_hits(df, "k", "n", 3).collect()}
+    caches, want = (OrderedDict(), OrderedDict()), {}
+    for i, k in enumerate(keys):
+        own = caches[i % 2]
+        want[i] = k in own
+        own[k] = True
+        own.move_to_end(k)
+        if len(own) > 3:
+            own.popitem(last=False)
+    assert got == want
