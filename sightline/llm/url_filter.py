@@ -191,7 +191,7 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: Sequence[tuple[
     universe = space.table(keys.select(*key_hashes(F.col("host")), F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parts = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *key_hashes(F.col("host")))
-    if universe.where("listed").count() * 20 / 8 <= max_bytes:  # 20 bits a key are more than the levels take together
+    if universe.where("listed").count() * 32 / 8 <= max_bytes:  # 32 bits a key are more than the levels take together
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name not in ("h1", "h2"))
         judged = parts.mapInPandas(_judged(build_cascade(universe)), f"{schema}, listed boolean")
     else:
