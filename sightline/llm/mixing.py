@@ -54,6 +54,11 @@ def source_targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[fl
     return target
 
 
+def shuffled(doc_id: Column) -> Column:
+    """A document's place in the order by hash: 32 bits of the MD5 sum of its id."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+
+
 def position(words: Column, target: Column, slope: Column) -> Column:
     """The time at which a source's delivered words reach ``words``: the root of slope*t^2 + (1 - slope)*t = words / target in 0..1."""
     part, b = F.least(F.lit(1.0), words / target), F.lit(1.0) - slope
@@ -73,7 +78,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequen
     space = Workspace(spark, "mix")
     text = F.col("text").cast("string")
     sized = space.table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), _content(F.col("source"), text).alias("order")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), _content(F.col("source"), text).alias("content"), shuffled(F.col("doc_id")).alias("order")),
         "sized",
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
@@ -88,14 +93,14 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequen
     rows = rows.withColumn("bucket", F.when(large, -1).otherwise(F.pmod(F.col("order"), F.col("buckets").cast("long")))).withColumn("first", F.when(large, -F.col("size")).otherwise(0))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("first", "order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("first", "order", "doc_id", "size", "content").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(before, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
     start = F.col("before") + F.col("own")
     taken = [start + k * F.col("source_size") for k in range(int(MOST))]
     kept = F.filter(F.array(*taken), lambda s: (2 * s + F.col("size") < 2 * F.col("target")))
     rows = rows.withColumn("starts", F.when(F.col("size") == 0, F.slice(kept, 1, 1)).otherwise(kept))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "order", F.size("starts").alias("copies"), F.transform("starts", lambda s: position(s, F.col("target"), F.col("slope"))).alias("positions"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "content", F.size("starts").alias("copies"), F.transform("starts", lambda s: position(s, F.col("target"), F.col("slope"))).alias("positions"))
 
 
 def taken_words(plan: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     plan = plan_mix(docs, **options).where("copies > 0")
     key, content, lists, number, position_ = fresh(docs.columns, "_key", "_hash", "_lists", "_number", "_position")
-    found = plan.groupBy(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("order").alias(content)).agg(F.sort_array(F.collect_list("positions")).alias(lists))
+    found = plan.groupBy(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("content").alias(content)).agg(F.sort_array(F.collect_list("positions")).alias(lists))
     rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), content: _content(F.col("source"), F.col("text"))})
     rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(key, content).orderBy(key)))
     placed = rows.join(found, [key, content]).where(F.col(number) <= F.size(lists)).withColumn(position_, F.explode(F.element_at(lists, F.col(number))))
