@@ -99,6 +99,26 @@ def _rules_sql() -> tuple[str, str]:
     return " ".join(rules), " ".join(verdicts)
 
 
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _notices_sql() -> str:
+    return ", ".join(f"('{label}', {_list(text.split())})" for label, (text, _) in licenses.TEMPLATES.items())
+
+
+def _keys_sql() -> str:
+    return ", ".join(f"('{label}', {licenses._find(text.split(), key.split())}, {_list(key.split())})" for label, (text, keys) in licenses.TEMPLATES.items() for key in keys)
+
+
+def _phrases_sql() -> str:
+    return ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in licenses.BASE_PHRASES.items())
+
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": rf"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -126,6 +146,26 @@ r AS (SELECT d.*, t.source_size, t.target, CASE WHEN size > 0.01::DOUBLE * targe
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, first, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (CASE WHEN 2 * start + size < 2 * target THEN 1 ELSE 0 END + CASE WHEN 2 * (start + source_size) + size < 2 * target THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
+    "op7_licenses": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+-- The index: words of the notices with their places, and of each text the places of such words.
+notices AS (SELECT * FROM (VALUES {_notices_sql()}) AS t(template, notice)),
+keys AS (SELECT * FROM (VALUES {_keys_sql()}) AS t(template, start, phrase)),
+postings AS (SELECT template, i - 1 AS place, notice[i] AS word FROM notices, unnest(range(1, len(notice) + 1)) AS t(i) WHERE notice[i] NOT IN ({_quoted(licenses.UNINDEXED)})),
+hits AS (SELECT r, p - 1 AS pos, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p) WHERE w[p] IN (SELECT word FROM postings) OR w[p] IN ('cc', 'general', 'reserved')),
+df AS (SELECT word, count(DISTINCT r) AS df FROM hits GROUP BY word),
+ranked AS (SELECT r, template, pos - place AS start, dense_rank() OVER (PARTITION BY r, template ORDER BY df, word) AS rank FROM hits JOIN df USING (word) JOIN postings USING (word)),
+counted AS (SELECT r, template, start, count(DISTINCT rank) AS votes FROM ranked WHERE rank <= {licenses.ANCHORS} GROUP BY r, template, start),
+votes AS (SELECT *, max(votes) OVER (PARTITION BY r, template) AS most FROM counted),
+found AS (SELECT v.r, v.template, len(list_filter(range(1, len(notice) + 1), lambda i: v.start + i >= 1 AND d.w[v.start + i] = notice[i])) / len(notice)::DOUBLE AS share
+  FROM votes v JOIN d USING (r) JOIN notices n ON n.template = v.template WHERE v.votes >= least(v.most, 2)
+  AND NOT EXISTS (SELECT 1 FROM keys k WHERE k.template = v.template AND (v.start + k.start < 0 OR d.w[v.start + k.start + 1 : v.start + k.start + len(k.phrase)] <> k.phrase))),
+base AS (SELECT r, p - 1 AS pos, label FROM d, unnest(range(1, len(w) + 1)) AS t(p), (VALUES {_phrases_sql()}) AS b(label, phrase) WHERE w[p : p + len(phrase) - 1] = phrase),
+by_base AS (SELECT r, count(*) AS n, min(pos) AS first, max(pos) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+by_label AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, template FROM found) GROUP BY r),
+best AS (SELECT r, max(share) AS share FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  greatest(CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, coalesce(best.share, 0)::DOUBLE) AS score FROM d LEFT JOIN by_base b USING (r) LEFT JOIN by_label l USING (r) LEFT JOIN best USING (r)""",
     "op10_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[q : q + 2], ' ') AS x FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS t(q) WHERE len(w) > 0),
