@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, split_words
@@ -60,6 +60,11 @@ def _labelled(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
 
 
+def _literal(spark: SparkSession, rows: Sequence[Column]) -> DataFrame:
+    """A table of literal rows."""
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def _find(words: Sequence[str], phrase: Sequence[str]) -> int:
     return next(i for i in range(len(words)) if list(words[i : i + len(phrase)]) == list(phrase))
 
@@ -84,8 +89,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, tuple[str,
     total = rows.count()
     rarity = hits.select("row", "word").distinct().groupBy("word").agg(F.log(F.lit(float(total + 1)) / (F.count(F.lit(1)) + 1)).alias("idf"))
     # Both tables have one row per indexed word of a template: as large as the bank of templates.
-    postings = spark.createDataFrame([(w, label, i) for label, (words, _) in bank.items() for i, w in enumerate(words) if w in indexed], "word string, template string, at int")
-    notices = spark.createDataFrame([(label, words, [(_find(words, p), len(p)) for p in keys]) for label, (words, keys) in bank.items()], "template string, notice array<string>, keys array<struct<start:int,length:int>>")
+    postings = _literal(spark, [F.struct(F.lit(w).alias("word"), F.lit(label).alias("template"), F.lit(i).alias("at")) for label, (words, _) in bank.items() for i, w in enumerate(words) if w in indexed])
+    notices = _literal(spark, [F.struct(F.lit(label).alias("template"), F.array(*map(F.lit, words)).alias("notice"), F.array(*[F.struct(F.lit(_find(words, p)).alias("start"), F.lit(len(p)).alias("length")) for p in keys]).alias("keys")) for label, (words, keys) in bank.items()])
     met = hits.join(F.broadcast(rarity), "word").join(F.broadcast(postings), "word")
     rank = F.dense_rank().over(Window.partitionBy("row", "template").orderBy(F.desc("idf"), "word"))
     votes = met.withColumn("rank", rank).where(F.col("rank") <= ANCHORS).select("row", "template", (F.col("pos") - F.col("at")).alias("start"), "rank")
