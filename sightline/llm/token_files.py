@@ -31,6 +31,7 @@ HEADER = struct.Struct("<8sIIQQQ")  # magic, part, documents, tokens, start with
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 2_000_000
+BATCH_BYTES = 4 << 20
 
 
 # ---- the code ---------------------------------------------------------------------------------
@@ -177,14 +178,24 @@ def chunk_encoder(path: str, width: str) -> ChunkEncoder:
     return ChunkEncoder(path, width)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about BATCH_BYTES each: the larger they are, the fewer different chunks they have in all."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if len(batch) else []
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _tokenized(path: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part, start = chunk_encoder(path, width), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _joined(batches):
             ids, counts = encode(pc.fill_null(batch.column("text"), ""), end_id)
             ends = np.r_[0, np.cumsum(counts)]
             offsets = (ends * ids.itemsize).astype(np.int32)
