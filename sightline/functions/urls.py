@@ -53,6 +53,11 @@ def is_media(url: Column) -> Column:
     return F.coalesce(low.rlike("^https?://[^/?#]+") & ~bad, F.lit(False))
 
 
+def usable_response(content_type: Column, body: Column, least: int = 100) -> Column:
+    """An image by its content type, and long enough to be one."""
+    return F.coalesce(F.lower(content_type).rlike("image|octet-stream") & (F.octet_length(body) >= least), F.lit(False))
+
+
 def permitted(host_name: Column, domains: Sequence[str]) -> Column:
     """Whether any permitted string occurs in the host."""
     return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: F.instr(host_name, d) > 0) if domains else F.lit(False)

@@ -30,3 +30,9 @@ def strongest_proof(proofs: DataFrame, key: str) -> DataFrame:
 def cascade(container: Column, chunk: Column, packet: Column) -> Column:
     """The first layer that verifies, of container, image chunk and metadata packet."""
     return F.when(container, "CONTAINER_MATCH").when(chunk | packet, "CRYPTOGRAPHIC_LAYER_MATCH").otherwise("NONE")
+
+
+def decided(valid: Column, fusion: Column, least: float = 0.75) -> tuple[Column, Column]:
+    """Score and severity of an upload: a verified container is certain; else a fusion score above the threshold is HIGH."""
+    score = F.when(valid, 1.0).otherwise(fusion)
+    return score, F.when(valid, "CRITICAL").when(fusion > least, "HIGH").otherwise("MISS")

@@ -212,3 +212,29 @@ def test_lru_cache_in_order(spark):
         if len(own) > 3:
             own.popitem(last=False)
     assert got == want
+
+
+def test_stores(spark, tmp_path):
+    from sightline.sources import stores
+
+    df = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "asset_id int, detected_at string").withColumn("detected_at", F.col("detected_at").cast("timestamp"))
+    stores.append_sightings(df, f"{tmp_path}/s")
+    got = stores.sightings(spark, f"{tmp_path}/s", "2024-01-02 00:00:00")
+    assert [r["asset_id"] for r in got.collect()] == [2] and "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
+    stores.write_reports(df.select(F.lit("one\ntwo").alias("report")), f"{tmp_path}/r")
+    assert spark.read.text(f"{tmp_path}/r").count() == 6
+    stores.write_proofs(df, f"{tmp_path}/p")
+    assert spark.read.json(f"{tmp_path}/p").count() == 2
+    assert stores.index_of(spark, f"{tmp_path}/none", df).count() == 0 and stores.index_of(spark, f"{tmp_path}/s", df).count() == 2
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"url": "http://a", "priority": 3}\n')
+    from sightline.streaming import pipeline
+
+    pipeline.run_once(stores.jobs(spark, f"{tmp_path}/j"), f"{tmp_path}/jo", f"{tmp_path}/jc")
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"{tmp_path}/jo").select("url", "priority").collect()] == [("http://a", 3)]
+
+
+def test_uploads(spark):
+    cases = [custody.decided(F.lit(v), F.lit(x)) for v, x in ((True, 0.1), (False, 0.75), (False, 0.76))]
+    assert one(spark, *[c for case in cases for c in case]) == (1.0, "CRITICAL", 0.75, "MISS", 0.76, "HIGH")
+    assert one(spark, *[urls.usable_response(F.lit(t), F.lit("x" * n)) for t, n in (("image/png", 100), ("image/png", 99), ("text/html", 200), (None, 200))]) == (True, False, False, False)
