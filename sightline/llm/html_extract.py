@@ -222,31 +222,36 @@ def slots(wrapper: list, constants: frozenset[str] = frozenset()) -> dict[str, s
 
 
 def texts(page: list, kinds: dict[str, str]) -> list[tuple[str, str, str]]:
-    """(block, kind, path) of the page in order: white space made one space, references decoded; empty blocks left out."""
-    blocks: list[tuple[list[str], str, str]] = [([], "", "")]
+    """(block, kind, path) of the page in order: white space made one space, references decoded; empty blocks left out.
+
+    What an inline element inside a block holds may be of another kind: it is then a block of its own, and the rest stays one.
+    """
+    blocks: list[list[tuple[str, str | None, str]]] = [[]]
 
     def walk(node: list, path: str) -> None:
         for child in node[1]:
             if isinstance(child, str):
                 here = f"{path}/{TEXT}"
-                kind = kinds.get(here, "out")
-                if child.strip() and blocks[-1][1] != kind:
-                    blocks.append(([], kind, here))
-                blocks[-1][0].append(html.unescape(child))
+                blocks[-1].append((html.unescape(child), kinds.get(here, "out") if child.strip() else None, here))
                 continue
             name = child[0].partition(".")[0].rstrip("!")
             if name in ("br", "wbr", "img"):
-                blocks[-1][0].append(" " if name == "br" else "")
+                blocks[-1].append((" " if name == "br" else "", None, path))
                 continue
             if name not in INLINE:
-                blocks.append(([], "", ""))
+                blocks.append([])
             walk(child, f"{path}/{child[0]}")
             if name not in INLINE:
-                blocks.append(([], "", ""))
+                blocks.append([])
 
     walk(page, "")
-    joined = ((" ".join("".join(parts).split()), kind, path) for parts, kind, path in blocks)
-    return [x for x in joined if x[0]]
+    out = []
+    for block in blocks:
+        for kind in dict.fromkeys(k for _, k, _ in block if k):
+            text = " ".join("".join(piece for piece, k, _ in block if k in (kind, None)).split())
+            if text:
+                out.append((text, kind, next(p for _, k, p in block if k == kind)))
+    return out
 
 
 def main_text(page: list, kinds: dict[str, str]) -> str:

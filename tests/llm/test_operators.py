@@ -307,11 +307,11 @@ def test_articles(spark, data):
 
 
 def test_pages_of_odd_rows(spark):
-    body = "<body><header>top</header><article><h1>T &amp; t</h1><p>one <b>two</b>\n<a href=x>three</a><p>fo<i>u</i>r<aside>side</aside><div class='comments'><p>no</p></div><script>if (a<b) '</p>'</script></article><footer>end</footer>"
+    body = "<body><header>top</header><article><h1>T &amp; t</h1><p>one <b>two</b>\n<a href=x>three</a><p>fo<i>u</i>r <span class=ad>buy</span>five<aside>side</aside><div class='comments'><p>no</p></div><script>if (a<b) '</p>'</script></article><footer>end</footer>"
     odd = [(1, None, None), (2, "x://h/", ""), (3, "x://h/", body), (3, "x://h/", body), (4, "x://h/", "plain <b>text</b>"), (5, "x://i/", "<main><p>a<br>b</p></main><p>c</p>"), (6, "x://i/", "<article>" + "<p>w" * 20_000), (7, "x://i/", "<p hidden>h</p><p>s<!-- c --></p><nav>n")]
     pages = spark.createDataFrame([(*r, "t", 1) for r in odd], "page_id int, url string, html string, text string, host int")
     got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
-    assert got[1] == got[2] == "" and got[3] == "T & t\none two three\nfour" and got[4] == "plain text" and got[5] == "a b" and got[6] == "\n".join("w" * 20_000) and got[7] == "s"
+    assert got[1] == got[2] == "" and got[3] == "T & t\none two three\nfour five" and got[4] == "plain text" and got[5] == "a b" and got[6] == "\n".join("w" * 20_000) and got[7] == "s"
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
