@@ -32,6 +32,8 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 2_000_000
 BATCH_BYTES = 4 << 20
+#: A mark after a letter or digit; no letter outside Latin, and no mark that a combining sign could join.
+POINTS = r"([a-zA-Z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,!?;:*#$%&)])"
 
 
 # ---- the code ---------------------------------------------------------------------------------
@@ -129,7 +131,7 @@ class ChunkEncoder:
                 plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
                 texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
             if self.points:
-                texts = pc.replace_substring_regex(texts, r"([a-zA-Z0-9])([.,])", r"\1 \2")
+                texts = pc.replace_substring_regex(texts, POINTS, r"\1 \2")
             lists = pc.ascii_split_whitespace(texts)
             chunks, of = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
             of = of - of[0]
@@ -167,8 +169,10 @@ def folds_case(tokenizer) -> bool:
 
 
 def splits_on_points(tokenizer) -> bool:
-    """Whether a full stop or comma after a letter or digit begins a piece of its own, so that it may be set apart before."""
-    pairs = ((a + b + c, a + " " + b + c) for a in "ab Z x9 is".split() for b in ".," for c in ("", "b", "7", "..", "'s", '"', "<"))
+    """Whether a mark after a letter or digit begins a piece of its own, so that it may be set apart before."""
+    if any(m in t.content for t in tokenizer.get_added_tokens_decoder().values() for m in ".,!?;:*#$%&)"):
+        return False  # a token of its own could be cut
+    pairs = ((a + b + c, a + " " + b + c) for a in "ab Z x9 is é Ÿ ß ø".split() for b in ".,!?;:*#$%&)" for c in ("", "b", "7", "..", "'s", '"', "<", "%%%"))
     return all(tokenizer.encode(x, add_special_tokens=False).ids == tokenizer.encode(y, add_special_tokens=False).ids for x, y in pairs)
 
 
