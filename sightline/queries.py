@@ -650,7 +650,7 @@ def sighting_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n AS page FROM range(0, 40, 4) AS t(n)")
 def paginated_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/sightline-checkpoints")
+        spark.sparkContext.setCheckpointDir(_stream_folder(spark))
     links = spark.range(37).select(F.col("id").alias("page"), (F.col("id") + 4).alias("next")).where("next < 40")
     return registry.pages_reached(links, spark.range(1))
 
