@@ -224,7 +224,12 @@ def rate_limit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.fixed_window_limit(rows, "org_id", "ts", 5)
 
 
-@query()
+_BUCKET = """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT user_id, event_id, n, t, 1.0::DOUBLE AS held FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.event_id, r.n, r.t, least(1.0::DOUBLE, b.held - CASE WHEN b.held >= 1 THEN 1 ELSE 0 END + (r.t - b.t) * 0.0005::DOUBLE) FROM b JOIN r ON r.user_id = b.user_id AND r.n = b.n + 1)"""
+
+
+@query(f"{_BUCKET} SELECT event_id, held >= 1 AS passed FROM b")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return crawl.token_bucket(rows, "user_id", "ts", "event_id", 0.0005).select("event_id", "passed")
@@ -240,7 +245,9 @@ def rate_watch_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.alarms(views.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query()
+@query("""WITH r AS (SELECT event_id, event_id % 8 AS shard, floor(value) AS k FROM events), p AS (SELECT shard, k, event_id, lag(event_id) OVER (PARTITION BY shard, k ORDER BY event_id) AS before FROM r),
+n AS (SELECT p.event_id, count(DISTINCT r.k) AS others FROM p JOIN r ON r.shard = p.shard AND r.event_id > p.before AND r.event_id < p.event_id GROUP BY p.event_id)
+SELECT p.event_id, p.before IS NOT NULL AND coalesce(n.others, 0) < 20 AS hit FROM p LEFT JOIN n USING (event_id)""")
 def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 8).alias("shard"), F.floor("value").alias("k"))
     return crawl.lru_hits(rows, "k", "event_id", 20).select("event_id", "hit")
@@ -375,7 +382,8 @@ def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", hashing.request_fingerprint(F.lit("GET"), F.col("url"), F.lit(None).cast("string")).alias("fingerprint"))
 
 
-@query()
+@query("""WITH h AS (SELECT ('0x' || substr(sha256(url), 1, 16))::UBIGINT::HUGEINT AS a, (('0x' || substr(md5(url), 1, 16))::UBIGINT | 1::UBIGINT)::HUGEINT AS b FROM pages),
+p AS (SELECT DISTINCT (a + i * b) % 1437759 AS position FROM h, unnest(range(0, 10)) AS t(i)) SELECT count(*) AS set_bits, count(*) / 1437759.0::DOUBLE AS fill FROM p""")
 def bloom_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set bits and fill ratio of the filter over all urls."""
     bits, hashes = hashing.bloom_size(100_000, 0.001)
@@ -577,12 +585,13 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: pipeline.deduplicated(s.select("user_id", "ts"), "user_id", "ts"))
 
 
-@query()
+@query("""SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL
+HAVING time_bucket(INTERVAL 15 MINUTE, any_value(ts)) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: pipeline.velocity(s, "event_type", "ts"))
 
 
-@query()
+@query(f"{_BUCKET} SELECT user_id, t AS seconds, held >= 1 AS passed FROM b")
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import stateful
 
