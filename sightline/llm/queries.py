@@ -119,6 +119,24 @@ def _phrases_sql() -> str:
     return ", ".join(f"('{label}', {_list(phrase.split())})" for phrase, label in licenses.BASE_PHRASES.items())
 
 
+def _kinds_sql() -> str:
+    kinds = [*secrets.BASE, ("run", secrets.CANDIDATE, 0, 20)]
+    parts = []
+    for number, (_, pattern, group, _) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"SELECT r, {number} AS kind, regexp_extract_all(text, '{quoted}') AS found, regexp_extract_all(text, '{quoted}', {group}) AS sized, string_split_regex(text, '{quoted}') AS gaps FROM d")
+    return " UNION ALL ".join(parts)
+
+
+def _alphabets_sql() -> str:
+    return " ".join(f"WHEN regexp_full_match(rtrim(match, '='), '[{letters.replace('+/-_', '+/_-')}]+') THEN '{letters}'" for _, letters in secrets.ALPHABETS)
+
+
+def _tail_sql(z: str) -> str:
+    z = f"greatest(-12.0::DOUBLE, least(12.0::DOUBLE, {z}))"
+    return f"(1 / (1 + exp(1.5976::DOUBLE * {z} + 0.07056::DOUBLE * {z} * {z} * {z})))"
+
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": rf"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -166,6 +184,35 @@ by_label AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
 best AS (SELECT r, max(share) AS share FROM found GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
   greatest(CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, coalesce(best.share, 0)::DOUBLE) AS score FROM d LEFT JOIN by_base b USING (r) LEFT JOIN by_label l USING (r) LEFT JOIN best USING (r)""",
+    "op9_secrets": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+found AS ({_kinds_sql()}),
+each AS (SELECT r, kind, unnest(range(1, len(found) + 1)) AS nth, unnest(found) AS match, unnest(sized) AS counted, unnest(gaps[1 : len(found)]) AS gap FROM found WHERE len(found) > 0),
+placed AS (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY r, kind ORDER BY nth) AS stop FROM each),
+kept AS (SELECT r, kind, stop - length(match) AS start, stop, match FROM placed WHERE length(counted) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 ELSE 20 END),
+-- The battery: codes in the smallest alphabet that fits, and three tests against it.
+runs AS (SELECT r, start, stop, rtrim(match, '=') AS body, CASE {_alphabets_sql()} END AS letters FROM kept WHERE kind = 3),
+coded AS (SELECT *, list_transform(string_split(body, ''), lambda c: instr(letters, c) - 1) AS codes, length(letters)::DOUBLE AS k, length(body)::DOUBLE AS n FROM runs),
+sums AS (SELECT *, list_transform(codes, lambda c: CASE WHEN 2 * c >= k - 1 THEN 1 ELSE 0 END) AS high, k / n * list_sum(list_transform(list_distinct(codes), lambda c: len(list_filter(codes, lambda x: x = c)) ** 2)) - n AS chi2,
+  list_sum(list_transform(range(1, len(codes)), lambda i: (codes[i] - (k - 1) / 2) * (codes[i + 1] - (k - 1) / 2))) / ((k * k - 1) / 12 * sqrt(greatest(n - 1, 1))) AS z_serial FROM coded),
+ones AS (SELECT *, list_sum(high)::DOUBLE AS n1, 1 + list_sum(list_transform(range(1, len(high)), lambda i: abs(high[i] - high[i + 1])))::DOUBLE AS runs FROM sums),
+pairs AS (SELECT *, 2 * n1 * (n - n1) AS pair FROM ones),
+spread AS (SELECT *, (pow(greatest(chi2, 1e-9) / (k - 1), 1 / 3.0::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_chi2, pair * (pair - n) / (n * n * greatest(n - 1, 1)) AS variance FROM pairs),
+zs AS (SELECT *, CASE WHEN variance > 0 THEN (runs - (pair / n + 1)) / sqrt(greatest(variance, 1e-9)) ELSE sqrt(n) END AS z_runs FROM spread),
+tested AS (SELECT *, least(1.0, 3 * least({_tail_sql("z_chi2")}, 2 * {_tail_sql("abs(z_runs)")}, 2 * {_tail_sql("abs(z_serial)")})) AS flat FROM zs),
+-- Ordinary letters, and how improbably even each run is for them; the step-up rule on tenths of the logarithm.
+letter AS (SELECT c, count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(lower(body), '')) AS c FROM tested WHERE regexp_full_match(body, '[a-z]+|[A-Z]+|[A-Za-z]+') AND NOT regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+')) GROUP BY c),
+share AS (SELECT coalesce(sum((n / total) ** 2), {secrets.COINCIDENCE}) AS two, coalesce(sum((n / total) ** 3), {secrets.TRIPLE}) AS three FROM letter, (SELECT sum(n) AS total FROM letter)),
+even AS (SELECT t.*, {_tail_sql("((k * ((n - 1) * two + 1) - n) - chi2) / sqrt(4 * k * k * n * greatest(three - two * two, 1e-6) + 2 * k * k * (two - 2 * three + two * two))")} AS p_text FROM tested t, share),
+levels AS (SELECT floor(-10 * log10(p_text)) AS level, count(*) AS n FROM even GROUP BY 1),
+cut AS (SELECT min(level) AS level FROM (SELECT level, sum(n) OVER (ORDER BY level DESC) AS above, sum(n) OVER () AS every FROM levels) WHERE every * pow(10, -level / 10) <= {secrets.RATE} * above),
+random AS (SELECT r, 3 AS kind, start, stop FROM even, cut WHERE flat >= {secrets.REJECT} AND floor(-10 * log10(p_text)) >= cut.level),
+base AS (SELECT r, kind, start, stop FROM kept WHERE kind < 3),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM random q WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = q.r AND b.start < q.stop AND q.start < b.stop)),
+named AS (SELECT r, kind, start, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'random' END || ':' || start || ':' || stop AS span FROM spans),
+joined AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN joined USING (r)""",
     "op10_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[q : q + 2], ' ') AS x FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS t(q) WHERE len(w) > 0),
