@@ -31,7 +31,7 @@ HEADER = struct.Struct("<8sIIQQQ")  # magic, part, documents, tokens, start with
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCK_TOKENS = 1 << 20
 CACHE_ENTRIES = 2_000_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: A mark after a letter or digit; no letter outside Latin or whose lower case is more than a letter (U+0130), and no mark that a combining sign could join.
 POINTS = r"([a-zA-Z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,!?;:*#$%&)])"
 
