@@ -45,6 +45,7 @@ NOT_MAIN_WORDS = frozenset(
     "sharing social related widget toolbar pagination pager login search copyright legal disclaimer contentinfo complementary".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 TEXT = "#"
 
@@ -69,15 +70,8 @@ def signature(name: str, attributes: str) -> str:
 def parse(page: str) -> list:
     """The page as [signature, children]; a text is a string. Open ends are closed as browsers do; stray ends are passed over."""
     root: list = ["", []]
-    stack, at, raw = [root], 0, None
-    for token in _TOKEN.finditer(page):
-        if raw is not None:
-            if token.start() < at or token[1] is None or token[1].lower() != raw or not token[0].startswith("</"):
-                continue
-            raw = None
-            stack.pop()
-            at = token.end()
-            continue
+    stack, at = [root], 0
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             stack[-1][1].append(page[at : token.start()])
         at = token.end()
@@ -98,10 +92,12 @@ def parse(page: str) -> list:
         node = [signature(name, token[2]), []]
         stack[-1][1].append(node)
         if name not in VOID and not token[0].endswith("/>"):
-            stack.append(node)
-            if name in RAW:
-                raw = name
-    if raw is None and at < len(page):
+            if name in RAW:  # up to its own end tag nothing is a tag or comment
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                stack.append(node)
+    if at < len(page):
         stack[-1][1].append(page[at:])
     return root
 

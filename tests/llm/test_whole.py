@@ -6,7 +6,7 @@ import string
 
 import numpy as np
 
-from sightline.llm import bm25
+from sightline.llm import bm25, html_extract
 
 from test_operators import LOWER, documents, none, odd  # noqa: F401
 
@@ -50,3 +50,19 @@ def test_frequent_and_rare_words_score_alike():
         total[own] = 0
         order = np.lexsort((np.arange(len(ids)), -total))[:10]
         assert [d for d, _ in best] == order.tolist() and np.allclose([s for _, s in best], total[order], rtol=1e-12)
+
+
+# ---- 8: pages ---------------------------------------------------------------------------------
+
+
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(i, url, page) for i, (url, page) in enumerate(rows)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_raw_elements_end_at_their_own_end_tag(spark):
+    article = "<article><p>the text</p></article>"
+    heads = ["<script>for(i=0;i<n;i++){x()}</script>", "<script><!-- x()</SCRIPT >", "<style>a:b<c\"</style>", "<script>'</scripts>'<b</script\n>", "<textarea><!--</textarea>", "<script>a<b"]
+    got = extracted(spark, [(f"x://h{i}/", head + article) for i, head in enumerate(heads)])
+    assert got == ["the text"] * 5 + [""]
