@@ -7,8 +7,8 @@ optional. Pages of a host mostly fold to the same few expressions, so equal ones
 they are read, and a host with a third of all pages still aligns few.
 
 The wrapper says for each of its slots whether it belongs to the main text: inside an article (or
-main, or else the body), outside menus, adverts and the like, and not the template's own constant
-text. Each page is read along its host's wrapper.
+main, or else the body) and outside menus, adverts and the like. Each page is read along its host's
+wrapper. Text that a host repeats on its pages stays, as bylines and series lines do.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +26,6 @@ from .common import Workspace
 from .url_filter import url_parts
 
 PERIOD = 4
-#: A slot whose text is the same on at least so many pages of a host, while others differ, is the template's.
-CONSTANT_PAGES = 10
 #: Wrappers are sent to all tasks up to this many hosts; beyond, pages are joined with them by host.
 MAX_BROADCAST_HOSTS = 20_000
 SALTS = 32
@@ -210,11 +207,11 @@ def _kinds(e: list, path: str, out: dict, state: str) -> None:
             _kinds(child, f"{path}/{sign}", out, here)
 
 
-def slots(wrapper: list, constants: frozenset[str] = frozenset()) -> dict[str, str]:
+def slots(wrapper: list) -> dict[str, str]:
     """What each path of the wrapper holds; if it has a main part, text of the body elsewhere is none."""
     out: dict[str, str] = {}
     _kinds(wrapper, "", out, "body")
-    return {path: "out" if path in constants else kind for path, kind in out.items()}
+    return out
 
 
 def texts(page: list, kinds: dict[str, str]) -> list[tuple[str, str, str]]:
@@ -290,34 +287,13 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(_merged, schema)
 
 
-def _slot_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The least and the greatest hash of each slot's text on the pages of a batch."""
-    for frame in frames:
-        seen: dict[tuple[str, str], list[int]] = {}
-        for host, page, wrapper in zip(frame["host"], frame["html"], frame["expression"]):
-            for path, held in _by_path(texts(parse(page or ""), slots(json.loads(wrapper)))).items():
-                h = zlib.crc32(held.encode("utf-8", "surrogatepass"))
-                low, high, n = seen.get((host, path), (h, h, 0))
-                seen[host, path] = [min(low, h), max(high, h), n + 1]
-        yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["host", "path", "low", "high", "pages"])
-
-
-def _by_path(found: list[tuple[str, str, str]]) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for block, kind, path in found:
-        if kind in ("main", "body"):
-            out[path] = out[path] + "\n" + block if path in out else block
-    return out
-
-
 def _extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out, known = [], {}
-        for page, wrapper, constants in zip(frame["html"], frame["expression"], frame["constants"]):
-            key = wrapper, tuple(constants) if constants is not None else ()
-            if key not in known:
-                known[key] = slots(json.loads(wrapper), frozenset(key[1]))
-            out.append(main_text(parse(page or ""), known[key]))
+        for page, wrapper in zip(frame["html"], frame["expression"]):
+            if wrapper not in known:
+                known[wrapper] = slots(json.loads(wrapper))
+            out.append(main_text(parse(page or ""), known[wrapper]))
         yield frame[["page_id", "url"]].assign(text=out, n_chars=[len(t) for t in out])
 
 
@@ -333,17 +309,9 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = space.table(infer_wrappers(rows.select("host", "html")), "inferred")
     few = wrappers.count() <= MAX_BROADCAST_HOSTS
 
-    def with_wrapper(rows: DataFrame, table: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(table) if few else table, "host")
-
-    # Only slots of elements with a class or id can be the template's own text inside an article.
-    held = with_wrapper(rows.select("host", "html"), wrappers.where(F.col("pages") >= CONSTANT_PAGES)).select("host", "html", "expression")
-    found = held.mapInPandas(_slot_texts, "host string, path string, low long, high long, pages long").groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
-    same = F.collect_set(F.when((F.col("low") == F.col("high")) & (F.col("pages") >= CONSTANT_PAGES) & F.col("path").rlike(r"\.[^/]*/#$"), F.col("path")))
-    constants = found.groupBy("host").agg(same.alias("constants"), F.max((F.col("low") < F.col("high")).cast("int")).alias("varied"))
-    constants = constants.select("host", F.when(F.col("varied") == 1, F.sort_array("constants")).alias("constants"))
-    table = space.table(wrappers.join(constants, "host", "left").select("host", "expression", "constants"), "wrappers")
-    return with_wrapper(rows, table).select("page_id", "url", "html", "expression", "constants").mapInPandas(_extracted, f"page_id {_kind(rows)}, url string, text string, n_chars long")
+    table = wrappers.select("host", "expression")
+    found = rows.join(F.broadcast(table) if few else table, "host")
+    return found.select("page_id", "url", "html", "expression").mapInPandas(_extracted, f"page_id {_kind(rows)}, url string, text string, n_chars long")
 
 
 def _kind(rows: DataFrame) -> str:

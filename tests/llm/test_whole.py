@@ -66,3 +66,11 @@ def test_raw_elements_end_at_their_own_end_tag(spark):
     heads = ["<script>for(i=0;i<n;i++){x()}</script>", "<script><!-- x()</SCRIPT >", "<style>a:b<c\"</style>", "<script>'</scripts>'<b</script\n>", "<textarea><!--</textarea>", "<script>a<b"]
     got = extracted(spark, [(f"x://h{i}/", head + article) for i, head in enumerate(heads)])
     assert got == ["the text"] * 5 + [""]
+
+
+def test_repeated_text_of_an_article_stays(spark):
+    def page(i):
+        return f'<body><article><h1>t{i}</h1><p class="byline">By Staff</p><div class="body">the same body</div><p class="notice">buy</p><p>own {i}</p></article></body>'
+
+    got = extracted(spark, [("x://many/", page(i)) for i in range(12)] + [("x://few/", page(i)) for i in range(9)])
+    assert got == [f"t{i}\nBy Staff\nthe same body\nown {i}" for i in [*range(12), *range(9)]]
