@@ -41,6 +41,8 @@ NOT_MAIN_WORDS = frozenset(
     "footer sidebar comment comments reply replies disqus respond notice notices alert cookie cookies consent gdpr popup modal newsletter subscribe signup share "
     "sharing social related widget toolbar pagination pager login search copyright legal disclaimer contentinfo complementary".split()
 )
+#: Elements that hold the whole page or text: what their class says is no reason to leave them out.
+WHOLE = frozenset("html body main article".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -51,7 +53,7 @@ TEXT = "#"
 
 
 def signature(name: str, attributes: str) -> str:
-    """The tag with its words of class, id and role (digits aside), and a mark if it is hidden."""
+    """The tag with its names of class, id and role (digits aside), and a mark if it is hidden."""
     if not attributes:
         return name
     words, hidden = [], ""
@@ -60,7 +62,7 @@ def signature(name: str, attributes: str) -> str:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             hidden = "!"
         elif key in ("class", "id", "role"):
-            words += re.findall(r"[a-z]+", value)
+            words += filter(None, (re.sub(r"[^a-z_-]+", "", name).strip("_-") for name in value.split()))
     return name + "".join("." + w for w in dict.fromkeys(words)) + hidden
 
 
@@ -189,7 +191,13 @@ def written(e: list) -> str:
 
 def not_main(sign: str) -> bool:
     name, *words = sign.rstrip("!").split(".")
-    return sign.endswith("!") or name in NOT_MAIN or not NOT_MAIN_WORDS.isdisjoint(words)
+    return sign.endswith("!") or name in NOT_MAIN or name not in WHOLE and not NOT_MAIN_WORDS.isdisjoint(words)
+
+
+def _main(sign: str) -> bool:
+    """An article or main element, or one with a name of which main is a part and none says otherwise."""
+    name, *words = sign.rstrip("!").split(".")
+    return name in ("article", "main") or any("main" in parts and NOT_MAIN_WORDS.isdisjoint(parts) for parts in (re.split("[_-]+", w) for w in words))
 
 
 def _kinds(e: list, path: str, out: dict, state: str) -> None:
@@ -201,8 +209,7 @@ def _kinds(e: list, path: str, out: dict, state: str) -> None:
         elif not sign:
             _kinds(child, path, out, state)
         else:
-            name, *words = sign.rstrip("!").split(".")
-            here = "out" if state == "out" or not_main(sign) else "main" if state == "main" or name in ("article", "main") or "main" in words else state
+            here = "out" if state == "out" or not_main(sign) else "main" if state == "main" or _main(sign) else state
             out[f"{path}/{sign}"] = here if out.get(f"{path}/{sign}", here) == here else "body"
             _kinds(child, f"{path}/{sign}", out, here)
 

@@ -74,3 +74,13 @@ def test_repeated_text_of_an_article_stays(spark):
 
     got = extracted(spark, [("x://many/", page(i)) for i in range(12)] + [("x://few/", page(i)) for i in range(9)])
     assert got == [f"t{i}\nBy Staff\nthe same body\nown {i}" for i in [*range(12), *range(9)]]
+
+
+def test_only_whole_names_of_parts_leave_an_element_out(spark):
+    text = "<p>the text</p>"
+    pages = [
+        f'<body class="no-sidebar"><article>{text}</article></body>', f'<html class="no-header"><body class="single comments-open sidebar">{text}</body></html>', f'<article class="post share">{text}</article>',
+        f'<main class="legal">{text}</main>', f'<div class="has-no-ads"><article>{text}</article></div>', f'<div id="main-content">{text}</div><p>other</p>',
+        f'<article>{text}<div class="x comments">no</div><div id="ad-12">no</div><p role="Navigation">no</p></article>', f'<article hidden>{text}</article>',
+    ]
+    assert extracted(spark, [(f"x://n{i}/", page) for i, page in enumerate(pages)]) == ["the text"] * 7 + [""]
