@@ -6,7 +6,7 @@ last return the columns of ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, language_id, mixing, near_dedup, token_files
@@ -29,22 +29,34 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return found.where(~F.col(rejected)).withColumn("lang", filled).select(*_columns(docs))
 
 
+def _numbered(docs: DataFrame, space: Workspace) -> tuple[str, DataFrame]:
+    """The rows, stored with a number of their own, and its name: ids may be null or repeated, verdicts are on rows."""
+    (row,) = fresh(docs.columns, "_row")
+    return row, space.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group; of repeated rows of one id, one. A document without an id stays."""
-    found = near_dedup.find_near_duplicates(docs, k=SHINGLE_WORDS, percent=SIMILAR)
-    out, nth = fresh(docs.columns, "_gone", "_nth")
-    gone = Workspace(spark, "near-stage").table(found.where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(out), "left_anti")
-    numbered = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id", "text")))
-    return numbered.where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*_columns(docs))
+    """One row of each group of near-duplicates, that of the least id (null last); of rows of one id without words and alike, one. All other rows stay, whatever their ids."""
+    space = Workspace(spark, "near-stage")
+    row, rows = _numbered(docs, space)
+    text = F.col("text").cast("string")
+    found = near_dedup.find_near_duplicates(rows.select(F.col(row).alias("doc_id"), text.alias("text")), k=SHINGLE_WORDS, percent=SIMILAR)
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("content"))
+    judged = space.table(ids.join(found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row"), "judged")
+    alone = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    groups = judged.groupBy(alone.alias("alone"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("group"), F.when(alone, F.col("content")).alias("like"))
+    first = groups.agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "row")).alias("first")).select("first.row")
+    gone = space.table(judged.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row), "gone")
+    return rows.join(gone, row, "left_anti").select(*_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in spans of the benchmark."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    (out,) = fresh(docs.columns, "_gone")
-    gone = Workspace(spark, "decontaminate-stage").table(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias(out)).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(out)), "left_anti").select(*_columns(docs))
+    space = Workspace(spark, "decontaminate-stage")
+    row, rows = _numbered(docs, space)
+    found = decontaminate.find_contamination(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = space.table(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import string
 
 import numpy as np
 
+import corpus_pipeline
 from sightline.llm import bm25, html_extract
 
 from test_operators import LOWER, documents, none, odd  # noqa: F401
@@ -84,3 +85,23 @@ def test_only_whole_names_of_parts_leave_an_element_out(spark):
         f'<article>{text}<div class="x comments">no</div><div id="ad-12">no</div><p role="Navigation">no</p></article>', f'<article hidden>{text}</article>',
     ]
     assert extracted(spark, [(f"x://n{i}/", page) for i, page in enumerate(pages)]) == ["the text"] * 7 + [""]
+
+
+# ---- pipeline ---------------------------------------------------------------------------------
+
+
+def test_stages_judge_rows_and_not_ids(spark, data):
+    def prose(seed):
+        return " ".join(f"word{x}" for x in np.random.default_rng(seed).integers(0, 5000, 60))
+
+    bad = max(spark.read.parquet(f"{data}/benchmark.parquet").toPandas()["text"], key=len)
+    rows = [(None, prose(1)), (None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (7, prose(4)), (8, prose(3) + " end"), (9, prose(2)), (5, ""), (5, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", n) for n, r in enumerate(rows)], "doc_id long, text string, lang string, source string, _row int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, data)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == {(None, prose(1)): 1, (7, prose(3)): 1, (7, prose(4)): 1, (9, prose(2)): 1, (5, ""): 1, (None, None): 2}
+    rows = [(None, bad), (None, prose(1)), (7, bad), (7, prose(2)), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], docs.schema)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, data).collect())
+    assert got == {(None, prose(1)): 1, (7, prose(2)): 1, (None, None): 1}
