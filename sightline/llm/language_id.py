@@ -5,7 +5,8 @@ word edges, hashed into buckets. A text is the average of its subwords' embeddin
 layer with softmax scores the languages. Both are trained together by stochastic gradient descent in
 numpy, on whole documents and on short passages of them, so that short texts are scored well too.
 Part of the training documents set the softmax's temperature, the score under which a prediction is
-rejected, and the share of known subwords under which it is.
+rejected, and the share of known subwords under which it is. For that share each language is also left
+out: how much of its texts do the others know?
 
 Since everything after the average is linear, prediction needs the product of the two layers alone:
 one row of language scores for each bucket.
@@ -32,9 +33,10 @@ SIZES = (2, 3, 4)
 PER_LANGUAGE = 500
 PASSAGES = 3
 DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
-#: Share of calibration texts that may be rejected, and the highest score that is ever rejected. A text is rejected
-#: too if fewer of its subwords were seen in training than half of what that share of calibration texts has.
-REJECTED, REJECT_BELOW = 0.0001, 0.3
+#: Share of calibration texts that may score below the level of rejection. A text is rejected too if fewer of its
+#: subwords were seen in training than half-way from what that share of calibration texts has to what the median
+#: calibration text has if its own language is left out.
+REJECTED = 0.0001
 UNDETERMINED = "und"
 _WINDOW = 1 << 18
 
@@ -157,17 +159,21 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str, bool]], seed: int = 1
         table[buckets] = own
         layer -= rate * 0.2 * np.outer(hidden, error)
         bias -= rate * 0.02 * error
-    seen = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
-    for b, _, _ in fit:
-        seen[b] = 1
+    by_language = np.zeros((len(languages), 1 << BUCKET_BITS), dtype=bool)
+    for b, _, x in fit:
+        by_language[x, b] = True
+    languages_of = by_language.sum(axis=0)
+    seen = (languages_of > 0).astype(np.int32)
     # A subword that was never seen says nothing.
     model = Model(languages, (table @ layer * seen[:, None]).astype(np.float32), bias, seen)
     held = [(b, c / c.sum(), index[x]) for b, c, x, out in samples if out and len(b)]
-    return calibrated(model, held) if held else model
+    # With one language nothing can be left out: a text of another then knows what chance makes it know.
+    others = [float(w @ (languages_of[b] > by_language[x, b])) if len(languages) > 1 else float(seen.mean()) for b, w, x in held]
+    return calibrated(model, held, others) if held else model
 
 
-def calibrated(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Set the temperature of least loss, and the threshold from the scores that it gives."""
+def calibrated(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]], others: list[float]) -> Model:
+    """Set the temperature of least loss, the threshold from the scores that it gives, and the least share of known subwords. ``others``: that share of each text without its own language."""
     logits = np.array([w @ model.rows[b] for b, w, _ in held]) + model.bias
     label = np.array([x for _, _, x in held])
 
@@ -176,8 +182,9 @@ def calibrated(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]]) ->
 
     model.temperature = min((0.05 * 1.25**k for k in range(24)), key=loss)
     scores = softmax(logits / model.temperature).max(axis=1)
-    model.threshold = float(min(REJECT_BELOW, np.quantile(scores, REJECTED)))
-    model.known = 0.5 * float(np.quantile([w @ model.seen[b] for b, w, _ in held], REJECTED))
+    model.threshold = float(np.quantile(scores, REJECTED))
+    own = float(np.quantile([w @ model.seen[b] for b, w, _ in held], REJECTED))
+    model.known = (own + min(own, float(np.median(others)))) / 2
     return model
 
 

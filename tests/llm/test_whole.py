@@ -5,9 +5,10 @@ import math
 import string
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import bm25, html_extract
+from sightline.llm import bm25, html_extract, language_id
 
 from test_operators import LOWER, documents, none, odd  # noqa: F401
 
@@ -53,6 +54,21 @@ def test_frequent_and_rare_words_score_alike():
         assert [d for d, _ in best] == order.tolist() and np.allclose([s for _, s in best], total[order], rtol=1e-12)
 
 
+# ---- 5: language ID ---------------------------------------------------------------------------
+
+
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = docs.where("size(split(text, ' ')) >= 20")
+    model = language_id.fit(docs.where("lang <> 'es'"))
+    assert len(model.languages) == 3
+    foreign = ["Tämä on aivan toinen kieli, jota kukaan täällä ei ole koskaan oppinut puhumaan tai lukemaan", "To jest zupełnie inny język, którego nikt tutaj nigdy nie uczył się czytać ani mówić"]
+    assert model.predict(foreign)[2].tolist() == [True, True]
+    got = language_id.identify(long, model).where(language_id.held_out(F.col("doc_id"))).toPandas()
+    share = got.groupby(got["lang"] == "es")["_rejected"].mean()
+    assert share[True] > 0.8 and share[False] < 0.01
+
+
 # ---- 8: pages ---------------------------------------------------------------------------------
 
 
