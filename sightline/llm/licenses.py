@@ -1,10 +1,10 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
 The index has the words of licence notices with the templates and positions at which they stand. Of
-each text, the words that occur in a template are kept with their positions; of those, for every
-template, the rarest of the corpus (highest inverse document frequency) are looked up. Each meeting
-says where the template would begin; a beginning on which the rare words agree is verified: all of
-the template's mandatory key phrases must stand at their places.
+each text, the words that occur in a template are kept with their positions. Of every template's
+mandatory key phrases the rarest word of the corpus (highest inverse document frequency) is looked up.
+It stands in every occurrence of the template, so each of its places says where one would begin, and
+each beginning is verified: all of the template's mandatory key phrases must stand at their places.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 #: Words that every language text is full of: never among the rare ones, so not indexed.
 UNINDEXED = frozenset("a all and any are by file form in is may not of or person source the this to use under with without you v 0 1 2 3 4".split())
+#: Words of a template that vote in the query as SQL; here every place of one mandatory word is verified.
 ANCHORS = 3
 
 
@@ -79,7 +80,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, tuple[str,
     spark = docs.sparkSession
     space = Workspace(spark, "licenses")
     bank = {label: (text.split(), [p.split() for p in keys]) for label, (text, keys) in templates.items()}
-    indexed = sorted({w for words, _ in bank.values() for w in words} - UNINDEXED | {p.split()[k] for p, k in zip(BASE_PHRASES, (0, 0, 2))})
+    # Words that every occurrence must have, with their places: indexed ones, or all of a template that has none.
+    needed = {label: [(words[i], i) for p in keys for i in range(_find(words, p), _find(words, p) + len(p))] for label, (words, keys) in bank.items()}
+    needed = {label: [x for x in own if x[0] not in UNINDEXED] or own for label, own in needed.items()}
+    indexed = sorted({w for words, _ in bank.values() for w in words} - UNINDEXED | {w for own in needed.values() for w, _ in own} | {p.split()[k] for p, k in zip(BASE_PHRASES, (0, 0, 2))})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.col("text").cast("string")).alias("words"))
     placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
     rows = rows.withColumn("hits", F.filter(placed, lambda x: x["word"].isin(indexed)))
@@ -88,17 +92,14 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, tuple[str,
     hits = rows.where("words is not null").select("row", F.explode_outer("hits").alias("hit")).select("row", "hit.word", "hit.pos")
     total = rows.count()
     rarity = hits.select("row", "word").distinct().groupBy("word").agg(F.log(F.lit(float(total + 1)) / (F.count(F.lit(1)) + 1)).alias("idf"))
-    # Both tables have one row per indexed word of a template: as large as the bank of templates.
-    postings = _literal(spark, [F.struct(F.lit(w).alias("word"), F.lit(label).alias("template"), F.lit(i).alias("at")) for label, (words, _) in bank.items() for i, w in enumerate(words) if w in indexed])
+    # Both tables have one row per mandatory word of a template, or one per template: as large as the bank of templates.
+    postings = _literal(spark, [F.struct(F.lit(w).alias("word"), F.lit(label).alias("template"), F.lit(i).alias("at")) for label, own in needed.items() for w, i in own])
     notices = _literal(spark, [F.struct(F.lit(label).alias("template"), F.array(*map(F.lit, words)).alias("notice"), F.array(*[F.struct(F.lit(_find(words, p)).alias("start"), F.lit(len(p)).alias("length")) for p in keys]).alias("keys")) for label, (words, keys) in bank.items()])
-    met = hits.join(F.broadcast(rarity), "word").join(F.broadcast(postings), "word")
-    rank = F.dense_rank().over(Window.partitionBy("row", "template").orderBy(F.desc("idf"), "word"))
-    votes = met.withColumn("rank", rank).where(F.col("rank") <= ANCHORS).select("row", "template", (F.col("pos") - F.col("at")).alias("start"), "rank")
-    # The rare words that the text has of a template must agree on where it begins: two of them, or the only one.
-    votes = votes.groupBy("row", "template", "start").agg(F.count_distinct("rank").alias("votes"))
-    most = F.max("votes").over(Window.partitionBy("row", "template"))
-    votes = votes.withColumn("most", most).where("votes >= least(most, 2)").groupBy("row", "template").agg(F.collect_list("start").alias("begins"))
-    placed = rows.where("words is not null").select("row", "words").join(votes, "row").join(F.broadcast(notices), "template")
+    rank = F.dense_rank().over(Window.partitionBy("template").orderBy(F.desc_nulls_first("idf"), "word"))
+    rarest = postings.join(F.broadcast(rarity), "word", "left").withColumn("rank", rank).where("rank = 1").select("word", "template", "at")
+    met = hits.join(F.broadcast(rarest), "word").select("row", "template", (F.col("pos") - F.col("at")).alias("start"))
+    begins = met.groupBy("row", "template").agg(F.sort_array(F.collect_set("start")).alias("begins"))
+    placed = rows.where("words is not null").select("row", "words").join(begins, "row").join(F.broadcast(notices), "template")
     words, notice = F.col("words"), F.col("notice")
 
     def verified(start: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import bm25, html_extract, language_id
+from sightline.llm import bm25, html_extract, language_id, licenses
 
 from test_operators import LOWER, documents, none, odd  # noqa: F401
 
@@ -69,6 +69,18 @@ def test_texts_of_an_unlearned_language_are_rejected(spark):
     assert share[True] > 0.8 and share[False] < 0.01
 
 
+# ---- 7: licences ------------------------------------------------------------------------------
+
+
+def test_a_notice_is_found_beside_any_other(spark):
+    texts = ["Licensed under CC BY-SA 4.0 and elsewhere CC BY 4.0", "subject to the terms of this source code form. " + "x " * 20 + "Mozilla Public License", "CC BY 4.0, licensed under CC BY-NC 4.0, licensed under CC BY 4.0"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.scan_licenses(docs)).collect()}
+    assert got == {0: "cc-by,cc-by-4.0,cc-by-sa-4.0", 1: "mpl-2.0", 2: "cc-by,cc-by-4.0,cc-by-nc-4.0"}
+    same = {"odd": ("by this license or that", ("by this",))}
+    assert [r["found"][0]["label"] for r in licenses.scan_licenses(docs.selectExpr("doc_id", "'we go by this' as text"), same).collect()] == ["odd"] * 3
+
+
 # ---- 8: pages ---------------------------------------------------------------------------------
 
 
