@@ -65,12 +65,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     """doc_id, n_words, n_hit, items (ids of items with windows that occur, sorted as strings) for every row of ``docs``.
 
     Null and empty texts have no words, no hits and, as items, no windows. A null doc_id is kept and
-    judged; repeated rows and repeated items are judged alike (items of one id count once); an empty
+    judged; repeated rows and repeated items are judged alike (items of one id count once); an item
+    without an id is looked for like any other, but its hits name no item; an empty
     benchmark leaves everything clean; an empty table gives an empty result. Other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "winnow")
     text = F.col("text").cast("string")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), split_words(text).alias("item")).where("item_id is not null and size(item) > 0").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), split_words(text).alias("item")).where("size(item) > 0").distinct()
     items = space.table(items.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
     lengths = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < span).distinct().collect())
     # A short item has one gram, in the class of its length; a long one its winnowed grams in class 0.
@@ -93,7 +94,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     return found.select(
         "doc_id", "n_words",
         F.when(F.col("hits").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
-        F.when(F.col("hits").isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array_sort(F.array_distinct(F.col("hits.item_id")))).alias("items"),
+        F.when(F.col("hits").isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array_sort(F.array_distinct(F.array_compact("hits.item_id")))).alias("items"),
     )
 
 

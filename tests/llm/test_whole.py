@@ -8,11 +8,24 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import bm25, html_extract, language_id, licenses
+from sightline.llm import bm25, decontaminate, html_extract, language_id, licenses
 
 from test_operators import LOWER, documents, none, odd  # noqa: F401
 
 
+# ---- 3: decontamination -----------------------------------------------------------------------
+
+
+def test_items_without_an_id_are_looked_for(spark):
+    span = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, span), (2, "short item here"), (3, "none of it"), (None, span)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, span), (None, "short item"), (5, "short item")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_contamination(docs, items).collect()}
+    assert got == {1: (20, []), 2: (2, ["5"]), 3: (0, []), None: (20, [])}
+    found = decontaminate.digest(decontaminate.find_contamination(docs, items)).where("doc_id = 1").head()
+    assert (found["n_items"], found["contaminated"]) == (0, True)
+
+
 # ---- 4: search --------------------------------------------------------------------------------
 
 
