@@ -153,17 +153,22 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(D
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op6_mixing": rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS h FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || md5(coalesce(text, ''))), 1, 8))::BIGINT AS h FROM documents),
+n AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM d GROUP BY source),
+s AS (SELECT *, CASE turn WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, CASE turn WHEN 0 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END::DOUBLE AS raw_slope FROM n),
 -- Sources in the order in which a rising level fills them: with the first k full, the rest shares what is left by weight.
 f AS (SELECT *, 2.0::DOUBLE * source_size / w AS full_at, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source) AS k FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 c AS (SELECT min(k) AS k, min_by(level, k) AS level FROM l WHERE level < full_at),
-t AS (SELECT source, source_size, n, CASE WHEN c.k IS NULL OR l.k < c.k THEN 2.0::DOUBLE * source_size ELSE c.level * w END AS target FROM l, c),
-r AS (SELECT d.*, t.source_size, t.target, CASE WHEN size > 0.01::DOUBLE * target THEN -1 ELSE h % greatest(1, CAST(ceil(n / 5000.0) AS BIGINT)) END AS bucket, CASE WHEN size > 0.01::DOUBLE * target THEN -size ELSE 0 END AS first
+g AS (SELECT source, source_size, n, raw_slope, CASE WHEN c.k IS NULL OR l.k < c.k THEN 2.0::DOUBLE * source_size ELSE c.level * w END AS target FROM l, c),
+-- Each source's schedule: target * (1 + slope * (2t - 1)), the slopes centred so that all rates add up to the total.
+t AS (SELECT *, sum(target) OVER () AS total, raw_slope - sum(target * raw_slope) OVER () / nullif(sum(target) OVER (), 0) AS slope FROM g),
+r AS (SELECT d.*, t.source_size, t.target, t.total, t.slope, CASE WHEN size > 0.01::DOUBLE * target THEN -1 ELSE h % CAST(ceil(n / 5000.0) AS BIGINT) END AS bucket, CASE WHEN size > 0.01::DOUBLE * target THEN -size ELSE 0 END AS first
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, first, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (CASE WHEN 2 * start + size < 2 * target THEN 1 ELSE 0 END + CASE WHEN 2 * (start + source_size) + size < 2 * target THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, first, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
+-- The time t at which slope * t^2 + (1 - slope) * t is the share of the target that lies before the document.
+a AS (SELECT *, 2 * start + size < 2 * target AS once, size > 0 AND 2 * (start + source_size) + size < 2 * target AS twice, CASE WHEN start > 0 THEN 2 * (start / target) / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * (start / target))) ELSE 0 END AS moment FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (once::INTEGER + twice::INTEGER) AS BIGINT) AS taken, CASE WHEN once THEN CAST(round(total * moment) AS BIGINT) END AS position FROM a""",
     "op7_licenses": rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 -- The index: words of the notices with their places, and of each text the places of such words.

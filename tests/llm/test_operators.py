@@ -235,10 +235,44 @@ def test_windows_do_not_change_scores():
 # ---- 6: mixing --------------------------------------------------------------------------------
 
 
-def test_targets():
-    t = mixing.source_targets([("a", 100), ("b", 100), ("c", 100), (None, 0)])
-    assert t[0] == 200.0 and math.isclose(sum(t), 450) and math.isclose(t[1] / t[2], 2) and t[3] == 0.0
-    assert mixing.source_targets([]) == []
+def targets(spark, sizes):
+    rows = spark.createDataFrame([(*s, 1) for s in sizes], "source string, size long, rows long")
+    return [tuple(r) for r in mixing.source_targets(rows).orderBy(F.col("source").asc_nulls_last()).select("target", "slope", "total").collect()]
+
+
+def test_targets(spark):
+    got = targets(spark, [("a", 100), ("b", 100), ("c", 100), (None, 0)])
+    t = [x[0] for x in got]
+    assert t[0] == 200.0 and math.isclose(sum(t), 450) and math.isclose(t[1] / t[2], 2) and t[3] == 0.0 and math.isclose(got[0][2], 450)
+    assert abs(sum(x[0] * x[1] for x in got)) < 1e-9 and math.isclose(got[0][1] - got[1][1], 1.0)
+    assert targets(spark, []) == [] and targets(spark, [("a", 0), (None, 0)]) == [(0.0, 0.0, 0.0)] * 2
+    assert [x[0] for x in targets(spark, [("a", 1), ("b", 1000), ("c", 1000)])] == [2.0, 1999.6666666666667, 999.8333333333334]
+
+
+def test_positions_follow_the_schedule(spark):
+    """Documents of one size: in every tenth of the run each source has its schedule's share, and another slope gives other positions."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'w ' || id AS text", "substr('abc', cast(id % 3 + 1 AS int), 1) AS source")
+    plan = mixing.plan_mix(docs, weights=(1, 1, 1), slopes=(0.5, -0.5, 0.0))
+    rows = plan.select("source", "total", F.explode("positions").alias("p")).toPandas()
+    assert len(rows) == 13_500 and rows["p"].between(0, rows["total"][0] - 1).all()
+    tenth = (rows["p"] * 10 // rows["total"]).astype(int)
+    for source, slope in zip("abc", (0.5, -0.5, 0.0)):
+        got = tenth[rows["source"] == source].value_counts().sort_index().to_numpy() / 4500
+        want = [(b - a) + slope * ((b * b - b) - (a * a - a)) for a, b in ((k / 10, (k + 1) / 10) for k in range(10))]
+        assert np.abs(got - want).max() < 0.002
+    even = mixing.plan_mix(docs, weights=(1, 1, 1), slopes=(0.0,)).toPandas().set_index("doc_id")["positions"]
+    assert (plan.toPandas().set_index("doc_id")["positions"].str[0] != even.str[0]).mean() > 0.6
+
+
+def test_mixed_rows_stand_in_order(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 AS int)) AS text", "substr('abc', cast(id % 3 + 1 AS int), 1) AS source")
+    at = {r["doc_id"]: r["positions"] for r in mixing.plan_mix(docs).collect()}
+    nth = collections.Counter()
+    order = []
+    for r in mixing.mix(docs).collect():
+        order.append(at[r["doc_id"]][nth[r["doc_id"]]])
+        nth[r["doc_id"]] += 1
+    assert order == sorted(order) and nth == {i: len(p) for i, p in at.items() if p}
 
 
 def test_mix_meets_its_targets(spark, data, documents):
@@ -248,7 +282,7 @@ def test_mix_meets_its_targets(spark, data, documents):
     for _, own in got.groupby("source"):
         assert own["size"].sum() == own["source_size"].iloc[0] and abs(own["taken"].sum() - own["target"].iloc[0]) <= own["size"].max() / 2 + 1
     again = queries.op6_mixing(spark, data).toPandas().sort_values("doc_id", ignore_index=True)
-    assert again.equals(got.drop(columns="source").sort_values("doc_id", ignore_index=True))
+    assert again.equals(got.drop(columns="source").sort_values("doc_id", ignore_index=True)) and (got["position"].isna() == (got["taken"] == 0)).mean() > 0.9
 
 
 def test_positions_invert_the_integral(spark):
@@ -263,7 +297,7 @@ def test_mix_of_odd_rows(odd, none):
     out = mixing.mix(odd)
     assert out.columns == odd.columns and mixing.mix(none).count() == 0 and mixing.taken_words(mixing.plan_mix(none)).count() == 0
     per = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    copies = mixing.plan_mix(odd).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    copies = mixing.plan_mix(odd).groupBy("doc_id").agg(F.sum(F.size("positions")).alias("n")).where("n > 0").collect()
     assert per == {r["doc_id"]: r["n"] for r in copies}
 
 
@@ -319,9 +353,13 @@ def test_wrappers_fold_and_align():
     def of(page):
         return html_extract.expression(html_extract.parse(page))
 
-    whole = html_extract.aligned(of("<ul><li>a<li>b</ul><p>x"), of("<ul><li>a</ul><div>y</div><p>x<p>z"))
-    assert html_extract.written(whole) == "(<ul>(<li>#</>)+</> (<div>#</>)? (<p>#</>)+)"
-    assert html_extract.written(of("<h2>a</h2><p>b<h2>c</h2><p>d<h2>e</h2><p>f")) == "((<h2>#</> <p>#</>)+)"
+    whole = html_extract.expression(of("<ul><li>a<li>b</ul><p>x"), of("<ul><li>a</ul><div>y</div><p>x<p>z"))
+    assert html_extract.written(whole) == '(<ul>(<li>#</>)+</> (<div>"</>)? (<p>#</>)+)'[1:-1]
+    assert html_extract.written(of("<h2>a</h2><p>b<h2>c</h2><p>d<h2>e</h2><p>f")) == "(<h2>#</> <p>#</>)+"
+    assert html_extract.written(html_extract.expression(of("<p>a</p><b>same</b>"), of("<p>b</p><b>same</b><i>c</i>"))) == '<p>#</> <b>"</> (<i>"</>)?'
+    for e in (whole, of("<p class=a>x<b>y</b>" * 3)):
+        again = html_extract.unpacked(*html_extract.packed(e))
+        assert html_extract.written(again) == html_extract.written(e) and html_extract.packed(again) == html_extract.packed(e)
 
 
 # ---- 9: secrets -------------------------------------------------------------------------------
