@@ -1,20 +1,28 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from same-host pages.
 
 A page's token stream is parsed into elements; equal neighbours (groups of up to PERIOD elements) are
-folded into repeated groups, and every text into a slot. The expressions of a host's pages are then
-aligned one after another: what both have is aligned further inside, what only one has becomes
-optional. Pages of a host mostly fold to the same few expressions, so equal ones are merged where
-they are read, and a host with a third of all pages still aligns few.
-
-The wrapper says for each of its slots whether it belongs to the main text: inside an article (or
-main, or else the body) and outside menus, adverts and the like. Each page is read along its host's
-wrapper. Text that a host repeats on its pages stays, as bylines and series lines do.
+folded into repeated groups. The expressions of a host's pages are then aligned one after another: what
+both have is aligned further inside, what only one has becomes optional, and a text that differs
+becomes a slot, while one that all pages share stays in the wrapper. Pages of a host mostly fold to the
+same few expressions, so equal ones are merged where they are read, and a host with a third of all
+pages still aligns few.
+
+The wrapper says which of its parts are main text (``judged``):
+
+* Elements that never hold it (menus, forms, scripts and the like by their tags, hidden ones) are left
+  out. What class, id or role say is a hint: the wrapper may show that the element holds the page's
+  heading or most of its text, and then it stays.
+* Inside an article or main element everything else is main text, repeated bylines too.
+* A page without one is read in the wrapper's region: from the body, step by step into the one container
+  that has nearly all of the text that varies. Lists of links there are menus, and text that all the
+  host's pages share is left out where it begins or ends the region.
+
+No step recurses, so the depth of a page does not matter, and each takes time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections.abc import Iterator
 
@@ -26,8 +34,12 @@ from .common import Workspace
 from .url_filter import url_parts
 
 PERIOD = 4
-#: Wrappers are sent to all tasks up to this many hosts; beyond, pages are joined with them by host.
-MAX_BROADCAST_HOSTS = 20_000
+#: Lists of more different children than this are no longer aligned by place: children of one signature become one.
+WIDE = 256
+#: A region's container has at least this share of the varying text around it; an element that holds this much is main whatever its name says.
+NEARLY_ALL, MOST = 0.9, 0.5
+#: Wrappers are sent to all tasks up to this many bytes; beyond, pages are joined with them by host.
+MAX_BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,11 +53,17 @@ NOT_MAIN_WORDS = frozenset(
     "footer sidebar comment comments reply replies disqus respond notice notices alert cookie cookies consent gdpr popup modal newsletter subscribe signup share "
     "sharing social related widget toolbar pagination pager login search copyright legal disclaimer contentinfo complementary".split()
 )
+#: Readers' comments may be longer than the article.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: A name of several parts is no hint with one of these: it says what the element has or lacks, or that it is about the text.
+NO_HINT = frozenset("no not non without has have with open closed main content text body entry article post story layout".split())
 #: Elements that hold the whole page or text: what their class says is no reason to leave them out.
 WHOLE = frozenset("html body main article".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+CONTAINERS = frozenset("html body div section center table tbody tr td span font".split())
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TO_MARK = re.compile(r"[^>\"']*")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 TEXT = "#"
 
 
@@ -66,132 +84,317 @@ def signature(name: str, attributes: str) -> str:
     return name + "".join("." + w for w in dict.fromkeys(words)) + hidden
 
 
+def tag_of(sign: str) -> str:
+    return sign.partition(".")[0].rstrip("!")
+
+
+def _tag_end(page: str, at: int, lone: set) -> int:
+    """Where the tag ends whose attributes begin at ``at``: behind the first > outside quoted values. ``lone``: quotes that do not occur any more."""
+    while True:
+        at = _TO_MARK.match(page, at).end()
+        if at == len(page):
+            return at
+        mark, at = page[at], at + 1
+        if mark == ">":
+            return at
+        before = page[max(0, at - 33) : at - 1].rstrip()
+        if before.endswith("=") and mark not in lone:
+            close = page.find(mark, at)
+            if close < 0:
+                lone.add(mark)
+            else:
+                at = close + 1
+
+
 def parse(page: str) -> list:
     """The page as [signature, children]; a text is a string. Open ends are closed as browsers do; stray ends are passed over."""
     root: list = ["", []]
-    stack, at = [root], 0
-    while token := _TOKEN.search(page, at):
+    stack, at, lone = [root], 0, set()
+    opened: dict[str, list[int]] = {}  # for each tag, the depths at which it is open
+
+    def close(depth: int) -> None:
+        for node in reversed(stack[depth:]):
+            opened[tag_of(node[0])].pop()
+        del stack[depth:]
+
+    def close_own(name: str, within: tuple[str, ...]) -> None:
+        own = opened.get(name)
+        if own and all(not opened.get(w) or opened[w][-1] < own[-1] for w in within):
+            close(own[-1])
+
+    while token := _TAG.search(page, at):
         if token.start() > at:
             stack[-1][1].append(page[at : token.start()])
-        at = token.end()
-        if token[1] is None:
+        if token[1]:
+            end = page.find("-->", token.end())
+            at = end + 3 if end >= 0 else len(page)
             continue
-        name = token[1].lower()
-        if token[0].startswith("</"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0].partition(".")[0].rstrip("!") == name:
-                    del stack[depth:]
-                    break
+        if token[2]:
+            end = page.find(">", token.end())
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        at = _tag_end(page, token.end(), lone)
+        name = re.sub(r"[^a-z0-9:_-]+", "", token[4].lower())
+        if token[3]:
+            if opened.get(name):
+                close(opened[name][-1])
             continue
         if name in CLOSES_P:
-            _close(stack, "p", ("button", "td", "th", "table"))
+            close_own("p", ("button", "td", "th", "table"))
         if name in CLOSES_OWN:
             for own in ("td", "th", "tr") if name == "tr" else ("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,):
-                _close(stack, own, CLOSES_OWN[name])
-        node = [signature(name, token[2]), []]
+                close_own(own, CLOSES_OWN[name])
+        ended = page.endswith("/>", 0, at)
+        node = [signature(name, page[token.end() : at - 1 - ended]), []]
         stack[-1][1].append(node)
-        if name not in VOID and not token[0].endswith("/>"):
-            if name in RAW:  # up to its own end tag nothing is a tag or comment
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
-            else:
-                stack.append(node)
+        if name in VOID or ended:
+            continue
+        if name in RAW:  # up to its own end tag nothing is a tag or comment
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+        else:
+            opened.setdefault(name, []).append(len(stack))
+            stack.append(node)
     if at < len(page):
         stack[-1][1].append(page[at:])
     return root
 
 
-def _close(stack: list, name: str, within: tuple[str, ...]) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        own = stack[depth][0].partition(".")[0].rstrip("!")
-        if own == name:
-            del stack[depth:]
-            return
-        if own in within:
-            return
+# ---- expressions ------------------------------------------------------------------------------
 
 
-# ---- expressions ------------------------------------------------------------------------------
-# An element is [signature, repeated, optional, children]; a slot has the signature TEXT, a group the empty one.
+class Node:
+    """An element of an expression; a text has the signature TEXT, a group the empty one. A text's hash is 0 once it differs: it is a slot."""
 
+    __slots__ = ("sign", "repeated", "optional", "children", "hash", "chars", "kind", "mass", "varied", "heading", "article", "by_sign")
 
-def expression(node: list) -> list:
-    children = []
-    for child in node[1]:
-        if not isinstance(child, str):
-            children.append(expression(child))
-        elif child.strip() and (not children or children[-1][0] != TEXT):
-            children.append([TEXT, 0, 0, []])
-    return [node[0], 0, 0, folded(children)]
+    def __init__(self, sign: str, repeated: int = 0, optional: int = 0, children: list | None = None, hash_: int = 0, chars: int = 0):
+        self.sign, self.repeated, self.optional, self.children, self.hash, self.chars = sign, repeated, optional, children if children is not None else [], hash_, chars
+
+
+class Part:
+    """A child that is being folded or aligned: its own expression is made later, of all its sources."""
+
+    __slots__ = ("sign", "repeated", "optional", "sources", "members", "hash", "chars")
 
+    def __init__(self, sign: str, repeated: int = 0, optional: int = 0, sources: list | None = None, members: list | None = None, hash_: int = 0, chars: int = 0):
+        self.sign, self.repeated, self.optional, self.sources, self.members, self.hash, self.chars = sign, repeated, optional, sources, members, hash_, chars
 
-def _same(a: list, b: list) -> bool:
-    return a[0] == b[0] and (a[0] != "" or [x[0] for x in a[3]] == [x[0] for x in b[3]])
+    def take(self, other: Part) -> None:
+        """Become one part for both."""
+        self.repeated, self.optional = self.repeated | other.repeated, self.optional | other.optional
+        if self.sign == TEXT:
+            self.hash, self.chars = self.hash if self.hash == other.hash else 0, self.chars + other.chars
+        elif self.sign:
+            self.sources += other.sources
+        else:
+            for one, two in zip(self.members, other.members):
+                one.take(two)
+
+
+def _same(a: Part, b: Part) -> bool:
+    return a.sign == b.sign and (a.sign != "" or [x.sign for x in a.members] == [x.sign for x in b.members])
+
+
+def _parts(source) -> list[Part]:
+    """The children of a page's element or of an expression's."""
+    import xxhash
+
+    out: list[Part] = []
+    if isinstance(source, Node):
+        for child in source.children:
+            out.append(Part(child.sign, child.repeated, child.optional, [child], _parts(child) if not child.sign else None, child.hash, child.chars))
+        return out
+    for child in source[1]:
+        if not isinstance(child, str):
+            out.append(Part(child[0], sources=[child]))
+        elif words := child.split():
+            text = " ".join(words)
+            own = Part(TEXT, hash_=(xxhash.xxh3_64_intdigest(text) >> 1) | 1, chars=len(text))
+            if out and out[-1].sign == TEXT:  # a comment between them
+                out[-1].hash, out[-1].chars = (out[-1].hash * 31 + own.hash) & 0x7FFFFFFFFFFFFFFF | 1, out[-1].chars + own.chars
+            else:
+                out.append(own)
+    return out
 
 
-def folded(children: list) -> list:
+def folded(children: list[Part]) -> list[Part]:
     """Neighbouring equal groups of elements, the shortest first, become one repeated group."""
     for size in range(1, PERIOD + 1):
-        out: list = []
+        out: list[Part] = []
         for child in children:
             out.append(child)
             one, two = out[-2 * size : -size], out[-size:]
-            if len(one) == size and all(_same(a, b) for a, b in zip(one, two)) and not (size == 1 and child[0] == TEXT):
-                whole = [aligned(a, b) for a, b in zip(one, two)]
-                out[-2 * size :] = [[whole[0][0], 1, *whole[0][2:]]] if size == 1 else [["", 1, 0, whole]]
-            elif size > 1 and len(out) > size and out[-size - 1][0] == "" and len(out[-size - 1][3]) == size and all(_same(a, b) for a, b in zip(out[-size - 1][3], two)):
+            if len(one) == size and all(_same(a, b) for a, b in zip(one, two)) and not (size == 1 and child.sign == TEXT):
+                del out[-size:]
+                for a, b in zip(one, two):
+                    a.take(b)
+                if size == 1:
+                    out[-1].repeated = 1
+                else:
+                    out[-size:] = [Part("", 1, members=one)]
+            elif size > 1 and len(out) > size and out[-size - 1].sign == "" and len(out[-size - 1].members) == size and all(_same(a, b) for a, b in zip(out[-size - 1].members, two)):
                 group = out[-size - 1]
-                out[-size - 1 :] = [["", 1, group[2], [aligned(a, b) for a, b in zip(group[3], two)]]]
+                del out[-size:]
+                for a, b in zip(group.members, two):
+                    a.take(b)
         children = out
     return children
 
 
-def aligned(a: list, b: list) -> list:
-    """One expression for two elements of a signature: the longest common sequence of children is required, the rest optional."""
-    one, two = a[3], b[3]
+def _common(one: list[Part], two: list[Part]) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of two lists of children."""
+    if len(one) == len(two) and all(map(_same, one, two)):
+        return [(i, i) for i in range(len(one))]
     best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
     for i in range(len(one) - 1, -1, -1):
         for j in range(len(two) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if _same(one[i], two[j]) else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(one) or j < len(two):
-        if i < len(one) and j < len(two) and _same(one[i], two[j]):
-            out.append(aligned(one[i], two[j]))
+    while i < len(one) and j < len(two):
+        if _same(one[i], two[j]):
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(two) or i < len(one) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([one[i][0], one[i][1], 1, one[i][3]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([two[j][0], two[j][1], 1, two[j][3]])
             j += 1
-    return [a[0], a[1] | b[1], a[2] | b[2], _joined(out)]
+    return out
 
 
-def _joined(children: list) -> list:
-    """What alignment has put side by side, once more folded."""
-    out: list = []
-    for child in children:
-        if out and child[0] != "" and out[-1][0] == child[0]:
-            merged = aligned(out[-1], child)
-            out[-1] = [merged[0], int(child[0] != TEXT), out[-1][2] & child[2], merged[3]]
+def aligned(one: list[Part], two: list[Part]) -> list[Part]:
+    """One list for two: the longest common sequence of children is required, the rest optional. What then stands side by side is folded once more."""
+    out, i, j = [], 0, 0
+    for a, b in [*_common(one, two), (len(one), len(two))]:
+        for rest in (one[i:a], two[j:b]):
+            for part in rest:
+                part.optional = 1
+                out.append(part)
+        if a < len(one):
+            one[a].take(two[b])
+            out.append(one[a])
+        i, j = a + 1, b + 1
+    joined: list[Part] = []
+    for part in out:
+        if joined and part.sign and joined[-1].sign == part.sign:
+            optional = joined[-1].optional & part.optional
+            joined[-1].take(part)
+            joined[-1].optional, joined[-1].repeated = optional, int(part.sign != TEXT)
         else:
-            out.append(child)
-    return out
+            joined.append(part)
+    return joined if len(joined) <= WIDE else _collapsed(joined)
+
+
+def _collapsed(parts: list[Part]) -> list[Part]:
+    """One part for each signature, wherever it stands."""
+    out: dict[str, Part] = {}
+    for part in parts:
+        for own in part.members if not part.sign else [part]:
+            own.optional = 1
+            if own.sign in out:
+                out[own.sign].take(own)
+                out[own.sign].repeated = int(own.sign != TEXT)
+            else:
+                out[own.sign] = own
+    return list(out.values())
+
+
+def expression(*sources) -> Node:
+    """One expression for pages or expressions: for each element, of all that are to become one, the folded children are aligned one after another."""
+    root = Node("")
+    stack: list[tuple[Node, list]] = [(root, list(sources))]
+
+    def made(part: Part) -> Node:
+        node = Node(part.sign, part.repeated, part.optional, hash_=part.hash, chars=part.chars)
+        if not part.sign:
+            node.children = [made(m) for m in part.members]  # groups are not nested deeper than PERIOD
+        elif part.sign != TEXT:
+            stack.append((node, part.sources))
+        return node
+
+    while stack:
+        node, own = stack.pop()
+        if len(own) == 1 and isinstance(own[0], Node):
+            node.children = own[0].children
+            continue
+        whole: list[Part] | None = None
+        for source in own:
+            parts = folded(_parts(source))
+            if len(parts) > WIDE:
+                parts = _collapsed(parts)
+            whole = parts if whole is None else aligned(whole, parts)
+        node.children = [made(part) for part in whole or []]
+    return root
 
 
-def written(e: list) -> str:
-    """The expression as text: ``( )+`` repeated, ``( )?`` optional, ``#`` a text slot."""
-    inner = " ".join(map(written, e[3]))
-    body = TEXT if e[0] == TEXT else inner if not e[0] else f"<{e[0]}>{inner}</>"
-    return f"({body})" + "+" * e[1] + "?" * e[2] if e[1] or e[2] or not e[0] else body
+def written(e: Node) -> str:
+    """The expression as text: ``( )+`` repeated, ``( )?`` optional, ``#`` a text slot, ``"`` a text that stays."""
+    out, stack = [], [e]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        marks = node.repeated or node.optional or not node.sign and node is not e
+        before, after = "(" * bool(marks), (")" + "+" * node.repeated + "?" * node.optional) * bool(marks)
+        if node.sign == TEXT:
+            out.append(before + ('"' if node.hash else TEXT) + after)
+            continue
+        out.append(before + (f"<{node.sign}>" if node.sign else ""))
+        stack.append(("</>" if node.sign else "") + after)
+        stack += [x for c in reversed(node.children) for x in (c, " ")][:-1]
+    return "".join(out)
+
+
+def packed(e: Node) -> tuple[str, list[int], list[int]]:
+    """The expression's shape, and of its texts, in order, hashes and lengths."""
+    shape, hashes, chars, stack = [], [], [], list(reversed(e.children))
+    while stack:
+        node = stack.pop()
+        if node is None:
+            shape.append(")")
+            continue
+        shape.append(f"{2 * node.repeated + node.optional}{node.sign}")
+        if node.sign == TEXT:
+            hashes.append(node.hash)
+            chars.append(node.chars)
+        else:
+            stack.append(None)
+            stack += reversed(node.children)
+    return "\x01".join(shape), hashes, chars
+
+
+def unpacked(shape: str, hashes, chars) -> Node:
+    root = Node("")
+    stack, texts = [root], iter(zip(hashes, chars))
+    for token in shape.split("\x01") if shape else []:
+        if token == ")":
+            stack.pop()
+            continue
+        flags, sign = int(token[0]), token[1:]
+        node = Node(sign, flags >> 1, flags & 1)
+        stack[-1].children.append(node)
+        if sign == TEXT:
+            node.hash, node.chars = map(int, next(texts))
+        else:
+            stack.append(node)
+    return root
 
 
-# ---- reading along a wrapper ------------------------------------------------------------------
+# ---- what a wrapper's parts hold --------------------------------------------------------------
 
 
-def not_main(sign: str) -> bool:
+def _hint(sign: str) -> int:
+    """3 if a name says that the element has readers' comments, 2 if a whole name says that it is not main text, 1 if a part of a name does, else 0."""
     name, *words = sign.rstrip("!").split(".")
-    return sign.endswith("!") or name in NOT_MAIN or name not in WHOLE and not NOT_MAIN_WORDS.isdisjoint(words)
+    if name in WHOLE:
+        return 0
+    split = [parts for parts in (re.split("[_-]+", w) for w in words) if NO_HINT.isdisjoint(parts)]
+    if any(not COMMENTS.isdisjoint(parts) for parts in split):
+        return 3
+    if not NOT_MAIN_WORDS.isdisjoint(words):
+        return 2
+    return int(any(not NOT_MAIN_WORDS.isdisjoint(parts) for parts in split))
 
 
 def _main(sign: str) -> bool:
@@ -200,107 +403,204 @@ def _main(sign: str) -> bool:
     return name in ("article", "main") or any("main" in parts and NOT_MAIN_WORDS.isdisjoint(parts) for parts in (re.split("[_-]+", w) for w in words))
 
 
-def _kinds(e: list, path: str, out: dict, state: str) -> None:
-    """For every path of the wrapper: ``out`` (not main text), ``body`` or ``main``."""
-    for child in e[3]:
-        sign = child[0]
-        if sign == TEXT:
-            out[f"{path}/{TEXT}"] = state
-        elif not sign:
-            _kinds(child, path, out, state)
-        else:
-            here = "out" if state == "out" or not_main(sign) else "main" if state == "main" or _main(sign) else state
-            out[f"{path}/{sign}"] = here if out.get(f"{path}/{sign}", here) == here else "body"
-            _kinds(child, f"{path}/{sign}", out, here)
-
-
-def slots(wrapper: list) -> dict[str, str]:
-    """What each path of the wrapper holds; if it has a main part, text of the body elsewhere is none."""
-    out: dict[str, str] = {}
-    _kinds(wrapper, "", out, "body")
-    return out
-
-
-def texts(page: list, kinds: dict[str, str]) -> list[tuple[str, str, str]]:
-    """(block, kind, path) of the page in order: white space made one space, references decoded; empty blocks left out.
-
-    What an inline element inside a block holds may be of another kind: it is then a block of its own, and the rest stays one.
+OUT, REST, REGION, MAIN = range(4)
+
+
+def judged(wrapper: Node, pages: int) -> Node:
+    """Set on every part of a host's wrapper what it holds: ``kind``, and for a text whether all pages share it."""
+    order: list[tuple[Node, int, bool, bool]] = []  # part, place of its parent, whether left out by tag, whether in a link
+    stack: list[tuple[Node, int, bool, bool, bool]] = [(wrapper, -1, False, False, False)]
+    while stack:
+        node, parent, out, link, optional = stack.pop()
+        out, link, optional = out or node.sign.endswith("!") or tag_of(node.sign) in NOT_MAIN, link or tag_of(node.sign) == "a", optional or bool(node.optional)
+        shared = bool(node.hash) and pages > 1 and not optional
+        if node.sign == TEXT and not shared:
+            node.hash = 0
+        node.mass = 0 if node.sign != TEXT or out or link else node.chars
+        node.varied = 0 if node.hash else node.mass
+        node.heading, node.article = tag_of(node.sign) in ("h1", "main") and not out, tag_of(node.sign) == "article" and not out
+        stack += [(c, len(order), out, link, optional) for c in reversed(node.children)]
+        order.append((node, parent, out, link))
+    for node, parent, _, _ in reversed(order):
+        if parent >= 0:
+            up = order[parent][0]
+            up.mass, up.heading, up.article = up.mass + node.mass, up.heading or node.heading, up.article or node.article
+    kinds: list[int] = []
+    for node, parent, out, _ in order:
+        kind = kinds[parent] if parent >= 0 else REST
+        if out:
+            kind = OUT
+        elif kind != OUT and node.sign and node.sign != TEXT:
+            hint, large = _hint(node.sign), node.mass >= MOST * wrapper.mass
+            if hint and not node.heading and not (large and (hint == 1 or hint == 2 and node.article)):
+                kind = OUT
+            elif _main(node.sign):
+                kind = MAIN
+        node.kind = kind
+        kinds.append(kind)
+    # The region of pages without a main element.
+    for node, parent, _, _ in reversed(order):
+        if node.kind != REST:
+            node.varied = 0
+        if parent >= 0:
+            order[parent][0].varied += node.varied
+    region = wrapper
+    while True:
+        inside = [c for g in region.children for c in (g.children if not g.sign else [g])]
+        largest = max(inside, key=lambda c: c.varied, default=None)
+        if largest is None or not largest.varied or largest.kind != REST or largest.repeated or tag_of(largest.sign) not in CONTAINERS or largest.varied < NEARLY_ALL * region.varied:
+            break
+        region = largest
+    stack_: list[tuple[Node, bool]] = [(region, False)]
+    while stack_:
+        node, menu = stack_.pop()
+        menu = menu or node is not region and _is_menu(node)
+        if node.kind == REST and not menu:
+            node.kind = REGION
+        if node.kind in (REST, REGION):
+            stack_ += [(c, menu) for c in node.children]
+    for node, *_ in order:
+        own = [c for g in node.children for c in (g.children if not g.sign else [g])]
+        node.by_sign = {}
+        for c in sorted(own, key=lambda c: (-c.kind, bool(c.hash))):  # where the place is not known, rather keep a text than leave it out
+            node.by_sign.setdefault(c.sign, []).append(c)
+    return wrapper
+
+
+def _is_menu(node: Node) -> bool:
+    """A block whose text is all in links, of which there may be any number."""
+    if tag_of(node.sign) in INLINE or not node.sign or node.sign == TEXT or node.mass:
+        return False
+    stack, repeated, links = list(node.children), bool(node.repeated), 0
+    while stack:
+        child = stack.pop()
+        repeated |= bool(child.repeated)
+        links += tag_of(child.sign) == "a"
+        stack += child.children
+    return links > 1 or links == 1 and repeated
+
+
+# ---- reading a page along its wrapper ---------------------------------------------------------
+
+
+def _placed(children: list, own: Node | None) -> list[Node | None]:
+    """The wrapper's part for every child of a page's element: by signature, and by place where several have it."""
+    if own is None:
+        return [None] * len(children)
+    found = [own.by_sign.get(TEXT if isinstance(c, str) else c[0]) for c in children]
+    if all(f is None or len(f) == 1 for f in found):
+        return [f[0] if f else None for f in found]
+    at: dict[int, Node] = {}
+    parts = [p for g in folded(_parts(["", children])) for p in (g.members if not g.sign else [g])]
+    wanted = [p for g in _parts(own) for p in (g.members if not g.sign else [g])]
+    nodes = [c for g in own.children for c in (g.children if not g.sign else [g])]
+    if len(parts) <= WIDE:
+        for i, j in _common(parts, wanted):
+            if parts[i].sign != TEXT:
+                at |= {id(source): nodes[j] for source in parts[i].sources}
+    return [at.get(id(c)) or (f[0] if f else None) for c, f in zip(children, found)]
+
+
+def blocks_of(page: list, wrapper: Node) -> tuple[list[tuple[str, int, bool]], bool]:
+    """(text, kind, whether all pages share it) of the page's blocks in order, and whether it has a main element.
+
+    White space is made one space, references are decoded, empty blocks are left out. What an inline
+    element inside a block holds may be of another kind: it is then a block of its own, and the rest stays one.
     """
-    blocks: list[list[tuple[str, str | None, str]]] = [[]]
-
-    def walk(node: list, path: str) -> None:
-        for child in node[1]:
-            if isinstance(child, str):
-                here = f"{path}/{TEXT}"
-                blocks[-1].append((html.unescape(child), kinds.get(here, "out") if child.strip() else None, here))
-                continue
-            name = child[0].partition(".")[0].rstrip("!")
+    blocks: list[list[tuple[str, int | None, bool]]] = [[]]
+    main = False
+    stack: list[tuple] = [(page, wrapper, REST)]
+    while stack:
+        node, own, kind = stack.pop()
+        if node is None:
+            blocks.append([])
+        elif isinstance(node, str):
+            filled = bool(node.strip())
+            blocks[-1].append((html.unescape(node), (own.kind if own is not None else kind) if filled else None, own is not None and bool(own.hash)))
+        else:
+            name = tag_of(node[0])
+            if own is not None:
+                kind = own.kind
+            main = main or kind == MAIN
             if name in ("br", "wbr", "img"):
-                blocks[-1].append((" " if name == "br" else "", None, path))
+                blocks[-1].append((" " if name == "br" else "", None, False))
                 continue
             if name not in INLINE:
                 blocks.append([])
-            walk(child, f"{path}/{child[0]}")
-            if name not in INLINE:
-                blocks.append([])
-
-    walk(page, "")
+                stack.append((None, None, kind))
+            stack += reversed([(c, w, kind) for c, w in zip(node[1], _placed(node[1], own))])
     out = []
     for block in blocks:
-        for kind in dict.fromkeys(k for _, k, _ in block if k):
+        for kind in dict.fromkeys(k for _, k, _ in block if k is not None):
             text = " ".join("".join(piece for piece, k, _ in block if k in (kind, None)).split())
             if text:
-                out.append((text, kind, next(p for _, k, p in block if k == kind)))
-    return out
-
+                out.append((text, kind, all(shared for _, k, shared in block if k == kind)))
+    return out, main
 
-def main_text(page: list, kinds: dict[str, str]) -> str:
-    found = texts(page, kinds)
-    wanted = "main" if any(kind == "main" for _, kind, _ in found) or any(k == "main" and _has(page, p.split("/")[1:]) for p, k in kinds.items() if not p.endswith(TEXT)) else "body"
-    return "\n".join(block for block, kind, _ in found if kind == wanted)
 
-
-def _has(node: list, path: list[str]) -> bool:
-    return not path or any(not isinstance(c, str) and c[0] == path[0] and _has(c, path[1:]) for c in node[1])
+def main_text(page: list, wrapper: Node) -> str:
+    found, main = blocks_of(page, wrapper)
+    if main:
+        return "\n".join(text for text, kind, _ in found if kind == MAIN)
+    own = [(text, shared) for text, kind, shared in found if kind == REGION]
+    varied = [i for i, (_, shared) in enumerate(own) if not shared]
+    return "\n".join(text for text, _ in (own[varied[0] : varied[-1] + 1] if varied else own))
 
 
 # ---- tables -----------------------------------------------------------------------------------
 
+_SCHEMA = "host string, shape string, hashes array<bigint>, chars array<bigint>, pages long"
+
 
 def _expressions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch, one row for each host and shape."""
     for frame in frames:
-        seen: dict[tuple[str, str], int] = {}
+        seen: dict[tuple[str, str], list] = {}
         for host, page in zip(frame["host"], frame["html"]):
-            key = host, json.dumps(expression(parse(page or "")), separators=(",", ":"))
-            seen[key] = seen.get(key, 0) + 1
-        yield pd.DataFrame([(h, e, n) for (h, e), n in seen.items()], columns=["host", "expression", "pages"])
+            shape, hashes, chars = packed(expression(parse(page or "")))
+            _add(seen, (host, shape), hashes, chars, 1)
+        yield pd.DataFrame([(*key, *own) for key, own in seen.items()], columns=["host", "shape", "hashes", "chars", "pages"])
+
+
+def _add(seen: dict, key, hashes, chars, pages: int) -> None:
+    if key in seen:
+        own = seen[key]
+        own[0] = [a if a == b else 0 for a, b in zip(own[0], hashes)]
+        own[1] = [a + b for a, b in zip(own[1], chars)]
+        own[2] += pages
+    else:
+        seen[key] = [list(hashes), list(chars), pages]
 
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
-    """One expression for all of a group, the commonest first."""
-    ordered = frame.sort_values(["pages", "expression"], ascending=[False, True])
+    """One expression for all of a group, the commonest shape first."""
+    seen: dict[str, list] = {}
+    for _, shape, hashes, chars, pages in frame[["host", "shape", "hashes", "chars", "pages"]].itertuples(index=False):
+        _add(seen, shape, hashes, chars, int(pages))
     whole = None
-    for text in ordered["expression"]:
-        e = json.loads(text)
-        whole = e if whole is None else aligned(whole, e)
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "expression": [json.dumps(whole, separators=(",", ":"))], "pages": [int(frame["pages"].sum())]})
+    for shape, (hashes, chars, _) in sorted(seen.items(), key=lambda s: (-s[1][2], s[0])):
+        e = unpacked(shape, hashes, chars)
+        whole = e if whole is None else expression(whole, e)
+    return pd.DataFrame([(frame["host"].iloc[0], *packed(whole), sum(own[2] for own in seen.values()))], columns=["host", "shape", "hashes", "chars", "pages"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, expression, pages. ``pages``: host, html."""
-    schema = "host string, expression string, pages long"
-    found = pages.mapInPandas(_expressions, schema).groupBy("host", "expression").agg(F.sum("pages").alias("pages"))
-    parts = found.groupBy("host", F.pmod(F.hash("expression"), F.lit(SALTS)).alias("salt")).applyInPandas(_merged, schema)
-    return parts.groupBy("host").applyInPandas(_merged, schema)
+    """host, shape, hashes, chars, pages. ``pages``: host, html."""
+    found = pages.mapInPandas(_expressions, _SCHEMA)
+    parts = found.groupBy("host", F.pmod(F.hash("shape"), F.lit(SALTS)).alias("salt")).applyInPandas(_merged, _SCHEMA)
+    return parts.groupBy("host").applyInPandas(_merged, _SCHEMA)
 
 
 def _extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[str, tuple[str, Node]] = {}  # of the hosts met last
     for frame in frames:
-        out, known = [], {}
-        for page, wrapper in zip(frame["html"], frame["expression"]):
-            if wrapper not in known:
-                known[wrapper] = slots(json.loads(wrapper))
-            out.append(main_text(parse(page or ""), known[wrapper]))
+        out = []
+        for page, host, shape, hashes, chars, number in frame[["html", "host", "shape", "hashes", "chars", "pages"]].itertuples(index=False):
+            if host not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[host] = judged(unpacked(shape, hashes, chars), number)
+            out.append(main_text(parse(page or ""), known[host]))
         yield frame[["page_id", "url"]].assign(text=out, n_chars=[len(t) for t in out])
 
 
@@ -309,16 +609,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text; a null url belongs to the host of no name; repeated pages
     are read alike; an empty table gives an empty result. Other columns are ignored. The whole page is
-    read, however long.
+    read, however long or deep. Of a host with one page nothing is known to be shared.
     """
     space = Workspace(pages.sparkSession, "wrappers")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), url_parts(F.col("url").cast("string"))[0].alias("host"))
     wrappers = space.table(infer_wrappers(rows.select("host", "html")), "inferred")
-    few = wrappers.count() <= MAX_BROADCAST_HOSTS
-
-    table = wrappers.select("host", "expression")
-    found = rows.join(F.broadcast(table) if few else table, "host")
-    return found.select("page_id", "url", "html", "expression").mapInPandas(_extracted, f"page_id {_kind(rows)}, url string, text string, n_chars long")
+    size = wrappers.agg(F.sum(F.octet_length("shape") + 16 * F.size("hashes"))).head()[0] or 0
+    found = rows.join(F.broadcast(wrappers) if size <= MAX_BROADCAST_BYTES else wrappers, "host")
+    return found.mapInPandas(_extracted, f"page_id {_kind(rows)}, url string, text string, n_chars long")
 
 
 def _kind(rows: DataFrame) -> str:

@@ -31,10 +31,16 @@ def test_code_round_trip(values):
 def test_any_page_parses(page):
     tree = html_extract.parse(page)
     e = html_extract.expression(tree)
-    kinds = html_extract.slots(html_extract.aligned(e, e))
-    text = html_extract.main_text(tree, kinds)
+    assert html_extract.packed(html_extract.unpacked(*html_extract.packed(e))) == html_extract.packed(e)
+    wrapper = html_extract.judged(html_extract.expression(e, e), 2)
+    text = html_extract.main_text(tree, wrapper)
     assert "\n\n" not in text and text == text.strip()
-    assert {p for _, _, p in html_extract.texts(tree, kinds)} <= set(kinds)
+    # Every element of the page has its part in the wrapper.
+    stack = [(tree, wrapper)]
+    while stack:
+        node, own = stack.pop()
+        assert own is not None
+        stack += [x for x in zip(node[1], html_extract._placed(node[1], own)) if not isinstance(x[0], str)]
 
 
 @settings(max_examples=100, deadline=None)

@@ -118,14 +118,47 @@ def test_repeated_text_of_an_article_stays(spark):
     assert got == [f"t{i}\nBy Staff\nthe same body\nown {i}" for i in [*range(12), *range(9)]]
 
 
-def test_only_whole_names_of_parts_leave_an_element_out(spark):
+def test_names_are_hints(spark):
     text = "<p>the text</p>"
     pages = [
-        f'<body class="no-sidebar"><article>{text}</article></body>', f'<html class="no-header"><body class="single comments-open sidebar">{text}</body></html>', f'<article class="post share">{text}</article>',
+        f'<body class="no-sidebar"><article>{text}</article></body>', f'<html class="no-header"><body class="single comments-open sidebar">{text}</body></html>', f'<article class="post has-comments share">{text}</article>',
         f'<main class="legal">{text}</main>', f'<div class="has-no-ads"><article>{text}</article></div>', f'<div id="main-content">{text}</div><p>other</p>',
-        f'<article>{text}<div class="x comments">no</div><div id="ad-12">no</div><p role="Navigation">no</p></article>', f'<article hidden>{text}</article>',
+        f'<article>{text}<div class="x comments">no</div><div id="ad-12">no</div><p role="Navigation">no</p><ol class="comment-list"><li>a comment longer than the text</ol><div class="ad-slot">no</div></article>',
+        f'<div class="sidebar page"><h1>the text</h1></div><div class="site-footer">no</div>', f'<div class="header-layout related"><article>{text}</article></div>', f'<div class="promo-body"><div class="x-promo">{text}</div></div><p>no',
+        f'<article hidden>{text}</article>',
     ]
-    assert extracted(spark, [(f"x://n{i}/", page) for i, page in enumerate(pages)]) == ["the text"] * 7 + [""]
+    got = extracted(spark, [(f"x://n{i}/", page) for i, page in enumerate(pages)])
+    assert got == ["the text"] * 9 + ["the text\nno", ""]
+
+
+def unmarked(i):
+    return (
+        f'<body><div>My Site</div><div class=a><ul><li><a href=x>Home{i}</a><li><a href=y>About{i}</a></ul></div><div class=b><div>All rights of a line</div><h1>Title {i}</h1><p>By Staff</p>'
+        f"<div>own text {i} and more of it</div><h4>Same end line</h4></div><div>Imprint</div></body>"
+    )
+
+
+def test_pages_without_marks_are_read_by_their_wrapper(spark):
+    """Which part is the text, and which lines are the site's, shows only when pages of a host are compared."""
+    got = extracted(spark, [("x://many/", unmarked(i)) for i in range(5)] + [("x://one/", unmarked(7))])
+    assert got[:5] == [f"Title {i}\nBy Staff\nown text {i} and more of it" for i in range(5)]
+    assert got[5] == "My Site\nAll rights of a line\nTitle 7\nBy Staff\nown text 7 and more of it\nSame end line\nImprint"
+
+
+def test_places_tell_equal_elements_apart(spark):
+    """Neither tag nor name tells the menu from the text: their places in the wrapper do."""
+    def page(i):
+        return f"<div><a href=1>m{i}</a> <a href=2>n{i}</a></div><h2>t{i}</h2><div>text number {i}</div><hr><div><a href=1>m{i}</a> <a href=2>k{i}</a></div>"
+
+    assert extracted(spark, [("x://p/", page(i)) for i in range(4)]) == [f"t{i}\ntext number {i}" for i in range(4)]
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<div>" * 100_000 + "<article>deep"
+    tags = "<a b='" * 30_000 + "<article>x"
+    wide = "<article>" + "".join(f"<{t}>{i}</{t}>" for i, t in enumerate(["p", "h2", "pre", "ul", "h3", "p", "h4"] * 3000))
+    got = extracted(spark, [("x://d/", deep), ("x://t/", tags), ("x://w/", wide), ("x://q/", "<article><p title=it's>a</p><p title='a>b'>c</p><p>it's</p><a href=x/>d</a></article>")])
+    assert got[0] == "deep" and got[2] == "\n".join(map(str, range(21_000))) and got[3] == "a\nc\nit's\nd"
 
 
 # ---- pipeline ---------------------------------------------------------------------------------
