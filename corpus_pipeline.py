@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, language_id, mixing, near_dedup, token_files
-from sightline.llm.common import Workspace, fresh
+from sightline.llm.common import Workspace
 from sightline.llm.queries import tokenizer_path
 
 #: Words of a shingle and least similarity (percent) of near-duplicates in a corpus.
@@ -22,50 +22,51 @@ def _columns(docs: DataFrame) -> list:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected; a document without a language gets the predicted one."""
+    """Documents whose language is not rejected; a document without a language gets the predicted one.
+
+    Null, empty and other texts without a letter are rejected. A table of which no row has a language teaches
+    nothing, and then none goes. Repeated rows are judged alike, and null ids are no matter. Texts of any length
+    are read whole. An empty table gives an empty result.
+    """
     found = language_id.identify(docs, language_id.fit(docs))
     language, _, rejected = found.columns[-3:]
     filled = F.coalesce(F.col("lang").cast("string"), F.when(F.col(language) != language_id.UNDETERMINED, F.col(language)))
     return found.where(~F.col(rejected)).withColumn("lang", filled).select(*_columns(docs))
 
 
-def _numbered(docs: DataFrame, space: Workspace) -> tuple[str, DataFrame]:
-    """The rows, stored with a number of their own, and its name: ids may be null or repeated, verdicts are on rows."""
-    (row,) = fresh(docs.columns, "_row")
-    return row, space.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the least id (null last); of rows of one id without words and alike, one. All other rows stay, whatever their ids."""
-    space = Workspace(spark, "near-stage")
-    row, rows = _numbered(docs, space)
-    text = F.col("text").cast("string")
-    found = near_dedup.find_near_duplicates(rows.select(F.col(row).alias("doc_id"), text.alias("text")), k=SHINGLE_WORDS, percent=SIMILAR)
-    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("content"))
-    judged = space.table(ids.join(found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row"), "judged")
-    alone = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
-    groups = judged.groupBy(alone.alias("alone"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("group"), F.when(alone, F.col("content")).alias("like"))
-    first = groups.agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "row")).alias("first")).select("first.row")
-    gone = space.table(judged.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row), "gone")
-    return rows.join(gone, row, "left_anti").select(*_columns(docs))
+    """One row of each group of near-duplicates, that of the least id (null last); all other rows stay, whatever their ids.
+
+    Rows without words (null, empty and white texts) are no near-duplicates; of those that are alike in a
+    doc_id (not null) and text, one stays. Texts of any length are compared whole. An empty table gives an empty result.
+    """
+    return near_dedup.drop_near_duplicates(docs, k=SHINGLE_WORDS, percent=SIMILAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in spans of the benchmark."""
-    space = Workspace(spark, "decontaminate-stage")
-    row, rows = _numbered(docs, space)
-    found = decontaminate.find_contamination(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = space.table(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias(row)), "gone")
-    return rows.join(gone, row, "left_anti").select(*_columns(docs))
+    """Documents of which less than a twentieth is in spans of the benchmark.
+
+    Rows are judged by their own text, so null and repeated ids do no harm. Null and empty texts have no
+    words and stay. Texts of any length are read whole. An empty table gives an empty result.
+    """
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by ranges of training position."""
+    """Documents as often as the mix takes them, by ranges of training position.
+
+    Null and empty texts have no words: they are taken once at most. A null source is a source of its own.
+    Rows without an id and repeated rows each have their own place. An empty table gives an empty result.
+    """
     return mixing.mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is encoded as an empty one; rows without an id come first, rows of one id in the order of
+    their texts. An empty table gives an empty result.
+    """
     folder = f"{Workspace(spark, 'pipeline').path}/tokens"
     token_files.write_token_files(docs, folder, tokenizer_path())
     return token_files.digest(token_files.read_token_files(spark, folder))

@@ -15,17 +15,17 @@ probability of the wanted similarity is under MISS. Survivors are confirmed on t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 HASHES, BATCH = 252, 36
 #: Chance that two texts of just the wanted similarity share no band, and that a batch drops such a pair.
@@ -34,6 +34,8 @@ NO_BAND, MISS = 1e-5, 1e-6
 BLOCK_TEXTS, BLOCK_BYTES = 2048, 16 << 20
 #: Ids are sent to all tasks up to this many; beyond, texts are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+#: Texts of equal 64-bit hashes that can be told apart by a second one.
+MAX_CLASHES = 10_000
 
 
 # ---- sets and signatures ----------------------------------------------------------------------
@@ -238,6 +240,51 @@ def find_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> Data
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _numbers(facts: DataFrame) -> Callable[[Column, Column], Column]:
+    """A 64-bit number of each text, as a function of ``key`` and ``check`` (two hashes of it): where two texts have one ``key``, their ``check``."""
+    clashing = facts.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high")
+    keys = [r["key"] for r in clashing.select("key").limit(MAX_CLASHES + 1).collect()]  # one is to be expected in 6 billion texts
+
+    def number(key: Column, check: Column) -> Column:
+        return F.when(key.isin(keys), check).otherwise(key) if keys else key
+
+    if keys and (len(keys) > MAX_CLASHES or facts.groupBy(number(F.col("key"), F.col("check")).alias("n")).agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").limit(1).count()):
+        raise ValueError("too many texts have equal hashes")
+    return number
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with its own columns, without near-duplicates: of each group one row stays, that of the least doc_id (null last).
+
+    Rows are judged by their text, whatever their ids: null and repeated ids do no harm. Null, empty and
+    white texts are no duplicates; of such rows that are alike in a doc_id (not null) and text, one stays.
+    """
+    space = Workspace(docs.sparkSession, "near-rows")
+    id_, key, flag, of, at = fresh(docs.columns, "_id", "_key", "_flag", "_of", "_at")
+    text = F.col("text").cast("string")
+    hashes = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    facts = space.table(docs.select(F.col("doc_id").cast("long").alias("id"), hashes[0].alias("key"), hashes[1].alias("check")), "keys")
+    number = _numbers(facts)
+    found = find_near_duplicates(docs.select(number(*hashes).alias("doc_id"), text.alias("text")), k, percent)
+    rows = facts.groupBy("id", number(F.col("key"), F.col("check")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    judged = space.table(rows.join(found.select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct(), "key"), "judged")
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    first = judged.where("n_shingles > 0").groupBy(F.col("component_id").alias("component")).agg(F.min(own).alias("first")).select("first.id", "first.key").withColumn("first", F.lit(True))
+    # Gone is every other row of a group; rows that are wholly alike are thinned out to one.
+    marked = judged.join(first.select(F.col("id").alias("of"), F.col("key").alias("at"), "first"), F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("at")), "left")
+    gone = (F.col("n_shingles") > 0) & F.col("first").isNull()
+    alike = (F.col("n") > 1) & (F.col("first").isNotNull() | F.col("id").isNotNull())
+    verdict = space.table(marked.select(F.col("id").alias(of), F.col("key").alias(at), F.when(gone, 0).when(alike, 1).alias(flag)).where(F.col(flag).isNotNull()), "verdict")
+    numbers = dict(verdict.groupBy(flag).count().collect())
+    small = F.broadcast(verdict) if sum(numbers.values()) <= MAX_BROADCAST_IDS else verdict
+    hashed = docs.withColumns({id_: F.col("doc_id").cast("long"), key: number(*hashes)})
+    joined = hashed.join(small, F.col(id_).eqNullSafe(F.col(of)) & (F.col(key) == F.col(at)), "left")
+    kept = joined.where(F.col(flag).isNull())
+    if numbers.get(1):
+        kept = kept.unionByName(joined.where(F.col(flag) == 1).dropDuplicates([id_, key]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _linked(members: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int) -> DataFrame:
     """Confirmed links (a < b) that join all candidates that are joined at all."""
     pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
