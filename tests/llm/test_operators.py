@@ -149,51 +149,83 @@ def test_contamination_of_odd_rows(spark, odd, none):
 # ---- 4: search --------------------------------------------------------------------------------
 
 
-def test_search_is_exact(spark, data, documents):
-    counts = {i: collections.Counter(w for w in (x.strip(string.punctuation) for x in t.translate(LOWER).split()) if w) for i, t in documents[["doc_id", "text"]].itertuples(index=False)}
-    df = collections.Counter(w for c in counts.values() for w in c)
-    n, length = len(counts), {i: sum(c.values()) for i, c in counts.items()}
-    mean = sum(length.values()) / n
-    idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items() if k > 1}
+def brute_force(docs, asked, k=10):
+    """Of each query (id, text) the ten best (score, id) by BM25 over all its words; docs: (id, text)."""
+    counts = [(i, collections.Counter(w for w in (x.strip(string.punctuation) for x in (t or "").translate(LOWER).split()) if w)) for i, t in docs]
+    df = collections.Counter(w for _, c in counts for w in c)
+    n, length = len(counts), [sum(c.values()) for _, c in counts]
+    mean = sum(length) / n
+    idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in df.items()}
+    out = {}
+    for q, text in asked:
+        terms = {w for w in (x.strip(string.punctuation) for x in (text or "").translate(LOWER).split()) if w in idf}
+        found = {(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w in sorted(terms) if w in c), i) for (i, c), size in zip(counts, length) if i != q}
+        out[q] = sorted((-round(s, 6), i) for s, i in found if s > 0)[:k]
+    return out
+
+
+def searched(frame):
+    got = collections.defaultdict(list)
+    for r in frame.orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r["query_id"]]) + 1
+        got[r["query_id"]].append((-r["score"], r["doc_id"]))
+    return got
 
-    def key(w):
-        import xxhash
 
-        return int(np.array([xxhash.xxh3_64_intdigest(w)], dtype=np.uint64).view(np.int64)[0])
+def agree(got, want):
+    assert set(got) == {q for q, best in want.items() if best}
+    for q, best in got.items():
+        assert np.allclose([s for s, _ in best], [s for s, _ in want[q]], atol=2e-6), q
+        assert [d for _, d in best] == [d for _, d in want[q]] or np.diff([s for s, _ in want[q]]).min() < 2e-6, q
 
-    got = collections.defaultdict(list)
-    for r in queries.op4_topk_search(spark, data).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    for q in (i for i in counts if i % 20 == 0):
-        terms = sorted((-c * idf[w], key(w), w) for w, c in counts[q].items() if w in idf)[:16]
-        scores = {i: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length[i] / mean)) for _, _, w in terms if w in c) for i, c in counts.items() if i != q}
-        best = sorted(scores.values(), reverse=True)[:10]
-        assert np.allclose([s for _, s in got[q]], [s for s in best if s > 0], atol=1e-5)
-        assert all(abs(scores[i] - s) < 1e-5 for i, s in got[q])
+
+@pytest.mark.parametrize("shard", [1 << 14, 64])
+def test_search_is_exact(spark, data, documents, shard, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
+    monkeypatch.setattr(bm25, "PART_QUERIES", 4 if shard == 64 else 1 << 13)
+    docs = list(documents[["doc_id", "text"]].itertuples(index=False, name=None))
+    agree(searched(queries.op4_topk_search(spark, data)), brute_force(docs, [d for d in docs if d[0] % 20 == 0]))
+
+
+def test_search_with_outside_queries_copies_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 8)
+    docs = [(i, f"alpha beta w{i % 7}") for i in range(40)] + [(100 + i, "copy of one text") for i in range(30)] + [(200, "zebra stands alone"), (201, "alpha"), (202, "Beta, beta."), (203, None)]
+    docs += [(300, "two texts alpha"), (300, "one id zebra"), (300, "one id zebra")]
+    asked = [(1000, "zebra"), (1001, "unknown words"), (1002, "ALPHA w3 w3"), (5, "alpha beta w5"), (100, "copy of one text"), (117, "copy of one text"), (200, "zebra stands alone"), (300, "two texts alpha"), (300, "one id zebra"), (7, "zebra"), (1003, ""), (None, "zebra")]
+    schema = "doc_id long, text string"
+    got = searched(bm25.search(spark.createDataFrame(docs, schema), spark.createDataFrame(asked, schema)))
+    whole = [a for a in asked if a[0] is not None and a[0] != 300] + [(300, "two texts alpha one id zebra")]
+    agree(got, brute_force(docs, whole))
+    assert [d for _, d in got[1000]] == [200, 300] and [d for _, d in got[100]] == list(range(101, 111)) and [d for _, d in got[117]] == list(range(100, 110))
+    assert got[200][0][1] == 300 and 300 not in [d for _, d in got[300]] and 1001 not in got
 
 
 def test_pruning_agrees_with_scoring_all():
     draw = np.random.default_rng(3)
-    ids = list(range(0, 4000, 2))
-    held = [np.unique(draw.zipf(1.3, 40) % 500 + 1).astype(np.uint64) for _ in ids]
+    ids = [[i, i + 1] if i % 6 == 0 else [i] for i in range(0, 4000, 2)]
+    held = [np.unique(draw.zipf(1.3, 40) % 500 + 1 + 1000 * (i % 3)).astype(np.uint64) for i in range(2000)]
     counts = [draw.integers(1, 9, len(w)).astype(np.uint32) for w in held]
-    shard = bm25.Shard(ids, held, counts, [int(c.sum()) for c in counts], 40.0)
-    for _ in range(60):
-        terms = np.unique(draw.integers(1, 501, 8)).astype(np.uint64)
-        idf = draw.uniform(0.1, 6, len(terms))
+    shard = bm25.Shard(ids, held, counts, [int(c.sum()) for c in counts], 40.0, np.array([2, 1002, 2002], dtype=np.uint64))
+    assert 0 < len(shard.most) < len(shard.words) and shard.blocks > 10
+    tiles = []
+    score = shard._score
+    shard._score = lambda weights, scores, wanted: (tiles.append(wanted.mean()), score(weights, scores, wanted))
+    asked = [(np.unique(draw.integers(1, 501, n) + 1000 * (n % 3)).astype(np.uint64), n % 4 or None) for n in list(range(1, 30)) * 3]
+    asked = [(w, draw.uniform(0.1, 6, len(w)), 10 * leave if leave else None) for w, leave in asked]
+    for (words, idf, leave), best in zip(asked, shard.best_of(asked, 10), strict=True):
         total = np.zeros(len(ids))
-        for own, w in zip(shard.lists(terms), idf):
+        for own, w in zip(shard.lists(words), idf):
             if own is not None:
-                total[shard.docs[own[0]]] += w * shard._gain(own[0])
-        total[5] = 0
-        best = shard.best(terms, idf, 10, 10)
-        assert np.allclose([s for _, s in best], np.sort(total[total > 0])[::-1][:10])
+                total[shard.docs[own]] += w * shard.gain[own].astype(np.float64)
+        found = sorted((-s, m) for s, own in zip(total, shard.members) for m in own.tolist() if s > 0 and m != leave)[:10]
+        assert np.allclose([s for _, s in best], [-s for s, _ in found], rtol=1e-6)
+    assert sum(tiles) < 0.6  # blocks were left out
 
 
 def test_search_of_odd_rows(odd, none):
     got = bm25.search(odd, odd.where("doc_id = 5")).collect()
     assert {r["doc_id"] for r in got if r["query_id"] == 5} <= {4, 6, 8} and got[0]["doc_id"] == 6
-    assert bm25.search(odd, odd.where("doc_id < 4")).count() == 0 and bm25.search(none, none).count() == 0
+    assert bm25.search(odd, odd.where("doc_id < 4")).count() == 0 and bm25.search(none, none).count() == 0 and bm25.search(odd, none).count() == bm25.search(none, odd).count() == 0
 
 
 # ---- 5: language ID ---------------------------------------------------------------------------

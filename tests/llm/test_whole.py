@@ -1,16 +1,13 @@
 """Operators on whole inputs: what an earlier version cut, dropped or mixed up."""
 
 import collections
-import math
-import string
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import bm25, decontaminate, html_extract, language_id, licenses
+from sightline.llm import decontaminate, html_extract, language_id, licenses
 
-from test_operators import LOWER, documents, none, odd  # noqa: F401
 
 
 # ---- 3: decontamination -----------------------------------------------------------------------
@@ -26,47 +23,6 @@ def test_items_without_an_id_are_looked_for(spark):
     assert (found["n_items"], found["contaminated"]) == (0, True)
 
 
-# ---- 4: search --------------------------------------------------------------------------------
-
-
-def test_search_uses_every_word_of_a_query(spark, documents):
-    counts = {i: collections.Counter(w for w in (x.strip(string.punctuation) for x in t.translate(LOWER).split()) if w) for i, t in documents[["doc_id", "text"]].itertuples(index=False)}
-    df = collections.Counter(w for c in counts.values() for w in c)
-    n, length = len(counts), {i: sum(c.values()) for i, c in counts.items()}
-    mean = sum(length.values()) / n
-    idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items() if k > 1}
-    table = spark.createDataFrame(documents[["doc_id", "text"]])
-    got = collections.defaultdict(list)
-    for r in bm25.search(table, table.where("doc_id % 10 = 0")).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    longest = 0
-    for q in (i for i in counts if i % 10 == 0):
-        terms = [w for w in counts[q] if w in idf]
-        longest = max(longest, len(terms))
-        scores = {i: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length[i] / mean)) for w in terms if w in c) for i, c in counts.items() if i != q}
-        best = sorted(scores.values(), reverse=True)[:10]
-        assert np.allclose([s for _, s in got[q]], [s for s in best if s > 0], atol=1e-5)
-        assert all(abs(scores[i] - s) < 1e-5 for i, s in got[q])
-    assert longest > 100
-
-
-def test_frequent_and_rare_words_score_alike():
-    draw = np.random.default_rng(5)
-    ids = list(range(3000))
-    held = [np.unique(draw.zipf(1.2, 60) % 3000 + 1).astype(np.uint64) for _ in ids]
-    counts = [draw.integers(1, 9, len(w)).astype(np.uint32) for w in held]
-    shard = bm25.Shard(ids, held, counts, [int(c.sum()) for c in counts], 200.0)
-    assert 0 < len(shard.matrix) < len(shard.words)
-    queries = [(held[i], draw.uniform(0.1, 6, len(held[i])), i) for i in range(0, 3000, 50)]
-    for (words, idf, own), best in zip(queries, shard.best_of(queries, 10)):
-        total = np.zeros(len(ids))
-        for at, w in zip(shard.lists(words), idf):
-            total[shard.docs[at[0]]] += w * shard._gain(at[0])
-        total[own] = 0
-        order = np.lexsort((np.arange(len(ids)), -total))[:10]
-        assert [d for d, _ in best] == order.tolist() and np.allclose([s for _, s in best], total[order], rtol=1e-12)
-
-
 # ---- 5: language ID ---------------------------------------------------------------------------
 
 
