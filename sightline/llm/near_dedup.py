@@ -240,17 +240,31 @@ def find_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> Data
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _numbers(facts: DataFrame) -> Callable[[Column, Column], Column]:
-    """A 64-bit number of each text, as a function of ``key`` and ``check`` (two hashes of it): where two texts have one ``key``, their ``check``."""
-    clashing = facts.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high")
-    keys = [r["key"] for r in clashing.select("key").limit(MAX_CLASHES + 1).collect()]  # one is to be expected in 6 billion texts
+def _numbers(facts: DataFrame, space: Workspace) -> Callable[[DataFrame, Column, Column, Column, str], DataFrame]:
+    """How rows get the numbers of their texts, by which duplicates are found: the doc_id, so that pivots are the earliest documents.
 
-    def number(key: Column, check: Column) -> Column:
-        return F.when(key.isin(keys), check).otherwise(key) if keys else key
-
-    if keys and (len(keys) > MAX_CLASHES or facts.groupBy(number(F.col("key"), F.col("check")).alias("n")).agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").limit(1).count()):
+    Texts whose id is null or not theirs alone get a hash in its place (``key``; ``check``, a second one, where ``key`` is taken).
+    """
+    texts = facts.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("check").alias("c"), F.max("check").alias("d"))
+    odd = space.table(texts.where("id is null or a < b or c < d").select(F.col("id").alias("_odd"), F.lit(True).alias("_is_odd")), "odd")
+    some = odd.count()
+    if not some:
+        return lambda rows, id_, key, check, name: rows.withColumn(name, id_)
+    odd = F.broadcast(odd) if some <= MAX_BROADCAST_IDS else odd
+    joined = facts.join(odd, F.col("id").eqNullSafe(F.col("_odd")), "left")
+    held = space.table(joined.where("_is_odd").select("key", "check").distinct(), "odd-texts")
+    own = joined.where("_is_odd is null").select(F.col("id").alias("key")).distinct()
+    taken = held.groupBy("key").count().where("count > 1").select("key").union(held.select("key").join(own, "key", "left_semi")).distinct()
+    keys = [r["key"] for r in taken.limit(MAX_CLASHES + 1).collect()]  # one is to be expected in 6 billion texts
+    number = F.when(F.col("key").isin(keys), F.col("check")).otherwise(F.col("key"))
+    if keys and (len(keys) > MAX_CLASHES or held.select(number.alias("key")).union(own).groupBy("key").count().where("count > 1").limit(1).count()):
         raise ValueError("too many texts have equal hashes")
-    return number
+
+    def numbered(rows: DataFrame, id_: Column, key: Column, check: Column, name: str) -> DataFrame:
+        instead = F.when(key.isin(keys), check).otherwise(key) if keys else key
+        return rows.join(odd, id_.eqNullSafe(F.col("_odd")), "left").withColumn(name, F.when(F.col("_is_odd"), instead).otherwise(id_)).drop("_odd", "_is_odd")
+
+    return numbered
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -262,12 +276,13 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     space = Workspace(docs.sparkSession, "near-rows")
     id_, key, flag, of, at = fresh(docs.columns, "_id", "_key", "_flag", "_of", "_at")
     text = F.col("text").cast("string")
-    hashes = F.xxhash64(text), F.xxhash64(F.lit(1), text)
-    facts = space.table(docs.select(F.col("doc_id").cast("long").alias("id"), hashes[0].alias("key"), hashes[1].alias("check")), "keys")
-    number = _numbers(facts)
-    found = find_near_duplicates(docs.select(number(*hashes).alias("doc_id"), text.alias("text")), k, percent)
-    rows = facts.groupBy("id", number(F.col("key"), F.col("check")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    judged = space.table(rows.join(found.select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct(), "key"), "judged")
+    doc_id, hashes = F.col("doc_id").cast("long"), (F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    facts = space.table(docs.select(doc_id.alias("id"), hashes[0].alias("key"), hashes[1].alias("check")), "keys")
+    numbered = _numbers(facts, space)
+    columns = F.col("id"), F.col("key"), F.col("check")
+    found = find_near_duplicates(numbered(docs.select(doc_id.alias("id"), hashes[0].alias("key"), hashes[1].alias("check"), text.alias("text")), *columns, "number").select(F.col("number").alias("doc_id"), "text"), k, percent)
+    rows = numbered(facts, *columns, "number").groupBy("id", "key", "number").agg(F.count(F.lit(1)).alias("n"))
+    judged = space.table(rows.join(found.select(F.col("doc_id").alias("number"), "n_shingles", "component_id").distinct(), "number"), "judged")
     own = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     first = judged.where("n_shingles > 0").groupBy(F.col("component_id").alias("component")).agg(F.min(own).alias("first")).select("first.id", "first.key").withColumn("first", F.lit(True))
     # Gone is every other row of a group; rows that are wholly alike are thinned out to one.
@@ -277,7 +292,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     verdict = space.table(marked.select(F.col("id").alias(of), F.col("key").alias(at), F.when(gone, 0).when(alike, 1).alias(flag)).where(F.col(flag).isNotNull()), "verdict")
     numbers = dict(verdict.groupBy(flag).count().collect())
     small = F.broadcast(verdict) if sum(numbers.values()) <= MAX_BROADCAST_IDS else verdict
-    hashed = docs.withColumns({id_: F.col("doc_id").cast("long"), key: number(*hashes)})
+    hashed = docs.withColumns({id_: doc_id, key: hashes[0]})
     joined = hashed.join(small, F.col(id_).eqNullSafe(F.col(of)) & (F.col(key) == F.col(at)), "left")
     kept = joined.where(F.col(flag).isNull())
     if numbers.get(1):
