@@ -115,7 +115,8 @@ def parsed(content):
     @F.pandas_udf(SCHEMA)
     def parts(content: pd.Series) -> pd.DataFrame:
         names = [x.split()[0] for x in _fields(SCHEMA)]
-        return pd.DataFrame([unpack(bytes(c)) if c is not None else {"error": "null"} for c in content], columns=names, dtype=object)
+        docs = [unpack(bytes(c)) if c is not None else {"error": "null"} for c in content]
+        return pd.DataFrame({n: pd.Series([d.get(n) for d in docs], dtype=object) for n in names})
 
     return parts(content)
 
@@ -136,6 +137,11 @@ def decrypted(nonce, sealed, tag, key, identity):
     return F.aes_decrypt(F.concat(nonce, sealed, tag), key, F.lit("GCM"), F.lit("DEFAULT"), identity)
 
 
+def opened(blob, key, associated):
+    """What was sealed as nonce, ciphertext and tag in one; null if the key or the associated data are others."""
+    return F.try_aes_decrypt(blob, key, F.lit("GCM"), F.lit("DEFAULT"), associated)
+
+
 def png_chunk(data: bytes, kind: bytes = b"dnAx") -> bytes | None:
     """The payload of an image's first private chunk of a kind; None without one."""
     at = 8

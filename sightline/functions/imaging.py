@@ -99,6 +99,48 @@ def perceptual_hashes(gray: np.ndarray) -> tuple[str, str, str]:
     return tuple(f"{int(''.join('1' if b else '0' for b in x.ravel()), 2):016x}" for x in bits)
 
 
+def wavelet_hash(gray: np.ndarray) -> str:
+    """A hash of 64 bits by the third low band of a 64x64 image: above its median or not."""
+    low = resized(gray, 64)
+    for _ in range(3):
+        low = haar(low)[0]
+    return f"{int(''.join('1' if b else '0' for b in (low > np.median(low)).ravel()), 2):016x}"
+
+
+def edges(gray: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarray:
+    """Edges after Canny: gradients of the smoothed image, thinned along their direction, strong ones and weak ones joined to them."""
+    line = np.array([1, 4, 6, 4, 1]) / 16
+    g = np.pad(np.asarray(gray, dtype=float), 2, mode="edge")
+    g = sum(w * g[:, k : g.shape[1] - 4 + k] for k, w in enumerate(line))
+    g = sum(w * g[k : g.shape[0] - 4 + k] for k, w in enumerate(line))
+    p = np.pad(g, 1, mode="edge")
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    size, sector = np.hypot(gx, gy), np.round(np.rad2deg(np.arctan2(gy, gx)) / 45).astype(int) % 4
+    s = np.pad(size, 1)
+    ahead = [s[1:-1, 2:], s[2:, 2:], s[2:, 1:-1], s[2:, :-2]]
+    behind = [s[1:-1, :-2], s[:-2, :-2], s[:-2, 1:-1], s[:-2, 2:]]
+    thin = (size >= np.choose(sector, ahead)) & (size >= np.choose(sector, behind))
+    strong, weak = thin & (size >= high), thin & (size >= low)
+    while True:
+        near = np.pad(strong, 1)
+        grown = weak & np.logical_or.reduce([near[y : y + strong.shape[0], x : x + strong.shape[1]] for y in range(3) for x in range(3)])
+        if (grown == strong).all():
+            return strong
+        strong = grown | strong
+
+
+def edge_gradients_128(gray: np.ndarray) -> np.ndarray:
+    """Gradient histograms of the edges alone."""
+    return gradients_128(edges(resized(gray, 256)) * 255.0)
+
+
+def layers(gray: np.ndarray, hsv: np.ndarray) -> dict:
+    """All layers that pixels give: hashes, frequencies, gradients, colours. Embedding and attention come from models."""
+    phash, dhash, ahash = perceptual_hashes(gray)
+    return {"phash": phash, "dhash": dhash, "ahash": ahash, "whash": wavelet_hash(gray), "dct": signature_128(gray).tolist(), "hog": gradients_128(gray).tolist(), "color": color_moments(hsv).tolist()}
+
+
 # ---- watermarks -------------------------------------------------------------------------------
 
 

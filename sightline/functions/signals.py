@@ -86,3 +86,50 @@ def mel_embedding(audio: np.ndarray, rate: int = 22050) -> np.ndarray:
     v = np.concatenate([bands.mean(1), bands.std(1)])
     size = np.linalg.norm(v)
     return v / size if size > 0 else v
+
+
+def chroma(audio: np.ndarray, rate: int = 22050, size: int = 4096, hop: int = 2048) -> np.ndarray:
+    """Power of the twelve pitch classes, one column for each frame, each of unit sum."""
+    padded = np.pad(np.asarray(audio, dtype=float), (0, max(0, size - len(audio))))
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * np.hanning(size)
+    power, at = np.abs(np.fft.rfft(frames, axis=1)) ** 2, np.fft.rfftfreq(size, 1 / rate)
+    heard = (at >= 27.5) & (at <= 4186.0)
+    pitch = np.round(12 * np.log2(at[heard] / 440.0)).astype(int) % 12
+    out = np.stack([power[:, heard][:, pitch == c].sum(axis=1) for c in range(12)])
+    return out / np.maximum(out.sum(axis=0, keepdims=True), 1e-12)
+
+
+def mel_signature(audio: np.ndarray, rate: int = 22050) -> np.ndarray:
+    """Mean of each mel band in decibels below the loudest, over time; of mean 0 and deviation 1."""
+    power = np.maximum(mel_bands(audio, rate), 1e-10)
+    mean = np.maximum(10 * np.log10(power / power.max()), -80.0).mean(axis=1)
+    return (mean - mean.mean()) / (mean.std() + 1e-8)
+
+
+def wav(audio: np.ndarray, rate: int) -> bytes:
+    """Samples from -1 to 1 as a file of 16 bits, one column for each channel."""
+    import io
+    import wave
+
+    samples = np.asarray(audio, dtype=float)
+    with wave.open(buffer := io.BytesIO(), "wb") as out:
+        out.setnchannels(1 if samples.ndim == 1 else samples.shape[1])
+        out.setsampwidth(2)
+        out.setframerate(rate)
+        out.writeframes(np.round(np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+    return buffer.getvalue()
+
+
+def samples(content: bytes) -> tuple[np.ndarray, int] | None:
+    """A file's samples from -1 to 1 (a column for each channel if there are several) and its rate; None for what is no such file of 16 bits."""
+    import io
+    import wave
+
+    try:
+        with wave.open(io.BytesIO(content)) as f:
+            if f.getsampwidth() != 2:
+                return None
+            raw = np.frombuffer(f.readframes(f.getnframes()), dtype="<i2") / 32767.0
+            return (raw.reshape(-1, f.getnchannels()) if f.getnchannels() > 1 else raw), f.getframerate()
+    except (wave.Error, EOFError):
+        return None

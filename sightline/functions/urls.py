@@ -70,6 +70,24 @@ def domain_class(host_name: Column, licensed: Column) -> Column:
     return F.when(piracy, "CRITICAL_PIRACY").when(licensed, "LICENSED").otherwise("UNKNOWN")
 
 
+def blocked(url: Column, words: Sequence[str]) -> Column:
+    """Whether any of the words occurs in the url."""
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(url, w)) if words else F.lit(False)
+
+
+#: Platforms whose processing is simulated, by what their urls hold; size of the canvas (width, height).
+PLATFORM_WORDS = ("instagram", "tiktok")
+CANVAS = {"instagram": (1080, 1080), "tiktok": (1080, 1920), "twitter": (1200, 675)}
+
+
+def simulated_platform(url: Column) -> Column:
+    """The platform whose processing a crawled url's media went through; null if none is known."""
+    out = F.lit(None).cast("string")
+    for word in reversed(PLATFORM_WORDS):
+        out = F.when(F.contains(url, F.lit(word)), word).otherwise(out)
+    return out
+
+
 def join_url(base: Column, link: Column) -> Column:
     """The link as seen from its page."""
 

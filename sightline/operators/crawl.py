@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,40 +78,85 @@ def fixed_window_limit(df: DataFrame, key: str, at: str, limit: int, size: str =
     return df.groupBy(key, F.window(at, size).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("limited"))
 
 
-def token_bucket(df: DataFrame, key: str, at: str, order: str, rate: float) -> DataFrame:
-    """Add ``passed``: a bucket of max(2 * rate, 1) tokens per key, refilled at ``rate`` a second, one token a request.
+def in_order(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], Callable], result: str) -> DataFrame:
+    """Add the column ``result`` (DDL): for each row of a key, in order, what a state gives for its ``columns``.
 
-    The refill is clamped, so the state must be folded in order; a key's requests are streamed through
-    one task in sorted batches, never held together.
+    ``start`` makes the state of a key, a function of the columns' values. A key's rows depend on all before
+    them, so they are streamed through one task in sorted batches, never held together.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    name = result.split()[0]
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        capacity, last_key, tokens, last = max(2 * rate, 1.0), None, 0.0, 0.0
+        last, state = object(), None
         for frame in frames:
-            passed = []
-            for k, t in zip(frame[key], frame["_seconds"]):
-                if k != last_key:
-                    last_key, tokens, last = k, capacity, t
-                tokens, last = min(capacity, tokens + (t - last) * rate), t
-                passed.append(tokens >= 1.0)
-                tokens -= tokens >= 1.0
-            yield frame.drop(columns="_seconds").assign(passed=passed)
+            out = []
+            for k, *values in zip(frame[key], *(frame[c] for c in columns)):
+                if k != last:
+                    last, state = k, start()
+                out.append(state(*values))
+            yield frame.assign(**{name: pd.Series(out, index=frame.index, dtype=object)})
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, f"{fields}, {result}")
+
+
+def seconds(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
+
+
+def bucket(rate: float | None = None) -> Callable[[], Callable]:
+    """A bucket of max(2 * rate, 1) tokens, refilled at ``rate`` a second up to that, one token a request. Without a rate, each request brings its own."""
+
+    def start() -> Callable:
+        tokens, last = None, 0.0
+
+        def passes(t: float, own: float = rate) -> bool:
+            nonlocal tokens, last
+            most = max(2 * own, 1.0)
+            tokens, last = most if tokens is None else min(most, tokens + (t - last) * own), t
+            passed = tokens >= 1.0
+            tokens -= passed
+            return passed
 
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
-    return df.withColumn("_seconds", seconds).repartition(key).sortWithinPartitions(key, "_seconds", order).mapInPandas(fold, f"{fields}, passed boolean")
+        return passes
+
+    return start
+
+
+def token_bucket(df: DataFrame, key: str, at: str, order: str, rate: float) -> DataFrame:
+    """Add ``passed``: whether a key's bucket has a token for the request."""
+    rows = in_order(df.withColumn("_seconds", seconds(at)), key, ["_seconds", order], ["_seconds"], bucket(rate), "passed boolean")
+    return rows.drop("_seconds")
 
 
 def admitted(df: DataFrame, domain: str, policy_table: DataFrame) -> DataFrame:
-    """The domain gate: blocked domains are dropped; the rest keep their policy's rate."""
+    """The domain gate's first half: blocked domains are dropped; the rest keep their policy's rate."""
     return with_policy(df, domain, policy_table).where("allowed")
 
 
-def ttl_hits(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Whether each request is answered by a response no older than the time to live."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, "event_id"))
-    gap = F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(before.cast("timestamp"))
-    return df.withColumn("hit", F.coalesce(gap < seconds, F.lit(False)))
+def gated(df: DataFrame, domain: str, at: str, order: str, policy_table: DataFrame) -> DataFrame:
+    """The domain gate: every request with ``outcome`` blocked (by its policy), limited (by its domain's bucket of the policy's rate) or passed."""
+    judged = with_policy(df, domain, policy_table).withColumn("_seconds", seconds(at))
+    open_ = in_order(judged.where("allowed"), domain, ["_seconds", order], ["_seconds", "rps"], bucket(), "passed boolean")
+    open_ = open_.withColumn("outcome", F.when(F.col("passed"), "passed").otherwise("limited")).drop("passed")
+    return open_.unionByName(judged.where("not allowed").withColumn("outcome", F.lit("blocked"))).drop("_seconds")
+
+
+def ttl_hits(df: DataFrame, key: str, at: str, order: str, ttl: int) -> DataFrame:
+    """Add ``hit``: whether a stored response younger than the time to live answers the request; one that is not answered is stored anew."""
+
+    def start() -> Callable:
+        stored = None
+
+        def hit(t: float) -> bool:
+            nonlocal stored
+            fresh = stored is not None and t - stored < ttl
+            stored = stored if fresh else t
+            return fresh
+
+        return hit
+
+    return in_order(df.withColumn("_seconds", seconds(at)), key, ["_seconds", order], ["_seconds"], start, "hit boolean").drop("_seconds")
 
 
 def alarms(df: DataFrame, key: str, order: list, every: int = 6) -> DataFrame:
@@ -121,27 +166,50 @@ def alarms(df: DataFrame, key: str, order: list, every: int = 6) -> DataFrame:
 
 
 def lru_hits(df: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
-    """Whether a least-recently-used cache answers each request; one cache per shard, so rows must carry ``shard``."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    """Add ``hit``: whether a least-recently-used cache answers each request; one cache per shard, so rows must carry ``shard``."""
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         from collections import OrderedDict
 
         cache: OrderedDict = OrderedDict()
-        shard = None
-        for frame in frames:
-            hits = []
-            for s, k in zip(frame["shard"], frame[key]):
-                if s != shard:
-                    shard, cache = s, OrderedDict()
-                hits.append(k in cache)
-                cache[k] = True
-                cache.move_to_end(k)
-                if len(cache) > capacity:
-                    cache.popitem(last=False)
-            yield frame.assign(hit=hits)
-
-    return df.repartition("shard").sortWithinPartitions("shard", order).mapInPandas(fold, f"{fields}, hit boolean")
+
+        def hit(k) -> bool:
+            held = k in cache
+            cache[k] = True
+            cache.move_to_end(k)
+            if len(cache) > capacity:
+                cache.popitem(last=False)
+            return held
+
+        return hit
+
+    return in_order(df, "shard", [order], [key], start, "hit boolean")
+
+
+def hit_rate(hits: DataFrame, by: str) -> DataFrame:
+    return hits.groupBy(by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.avg(F.col("hit").cast("double")).alias("rate"))
+
+
+def cooled(pushes: DataFrame, pops: DataFrame, domain: str, at: str) -> DataFrame:
+    """Add ``score`` to requests as they are pushed: priority and boost less what is left of the cooldown since the domain's last pop at or before. Both sides are sorted once per domain and hour; what was popped in earlier hours is carried over."""
+    both = pushes.withColumns({"_kind": F.lit(1), "_popped": F.lit(None).cast("double")}).unionByName(pops.select(domain, at, F.lit(0).alias("_kind"), seconds(at).alias("_popped")), allowMissingColumns=True)
+    both = both.withColumn("_hour", F.date_trunc("hour", at))
+    carried = pops.groupBy(domain, F.date_trunc("hour", at).alias("_hour")).agg(F.max(seconds(at)).alias("_last"))
+    hours = both.select(domain, "_hour").distinct().join(carried, [domain, "_hour"], "left")
+    before = F.max("_last").over(Window.partitionBy(domain).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    rows = both.join(hours.withColumn("_before", before).drop("_last"), [domain, "_hour"])
+    inside = Window.partitionBy(domain, "_hour").orderBy(F.col(at), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.coalesce(F.max("_popped").over(inside), F.col("_before"))
+    score = F.col("priority") + urls.boost(F.col(domain)) - F.coalesce(urls.cooldown(seconds(at) - last), F.lit(0.0))
+    return rows.withColumn("score", score).where("_kind = 1").drop("_kind", "_popped", "_hour", "_before")
+
+
+def scheduled(requests: DataFrame, fingerprint: Column, seq: str) -> DataFrame:
+    """The crawl scheduler: requests seen before are filtered, the others queued by score and then by arrival. Adds ``outcome``, and ``place`` in each shard's queue."""
+    first = F.min(seq).over(Window.partitionBy("_print"))
+    rows = requests.withColumn("_print", fingerprint).withColumn("outcome", F.when(F.col(seq) == first, "enqueued").otherwise("filtered"))
+    place = F.row_number().over(Window.partitionBy("shard", "outcome").orderBy(F.desc("score"), seq))
+    return rows.withColumn("place", F.when(F.col("outcome") == "enqueued", place)).drop("_print")
 
 
 def dispatch(cached: Column, has_bytes: Column, media_type: Column, has_url: Column) -> Column:

@@ -36,3 +36,15 @@ def decided(valid: Column, fusion: Column, least: float = 0.75) -> tuple[Column,
     """Score and severity of an upload: a verified container is certain; else a fusion score above the threshold is HIGH."""
     score = F.when(valid, 1.0).otherwise(fusion)
     return score, F.when(valid, "CRITICAL").when(fusion > least, "HIGH").otherwise("MISS")
+
+
+#: What a stored proof must have.
+PROOF_PARTS = ("asset_id", "commitment", "signature", "timestamp", "algo", "v")
+
+
+def complete_proof(proof: Column) -> Column:
+    """Whether a proof (JSON) has all of its parts."""
+    out = F.lit(True)
+    for part in PROOF_PARTS:
+        out &= F.get_json_object(proof, f"$.{part}").isNotNull()
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
@@ -21,6 +21,17 @@ def recent(sightings: DataFrame, assets: DataFrame, as_of, org_id=None, hours: i
     return rows.join(own, "asset_id").orderBy(F.desc("detected_at"), "sighting_id").limit(limit)
 
 
+def checked_arguments(hours: Column, severity: Column) -> tuple[Column, Column]:
+    """Whether a listing's arguments are valid (hours from 1 to 720, a known severity or none), and the severity that is meant."""
+    name = F.upper(F.coalesce(severity, F.lit("MEDIUM")))
+    return hours.between(1, 720) & name.isin(*sev.LADDER), name
+
+
+def listed(sightings: DataFrame) -> DataFrame:
+    """Sightings as they are returned: ids as text, times in ISO form."""
+    return sightings.withColumns({"sighting_id": F.col("sighting_id").cast("string"), "asset_id": F.col("asset_id").cast("string"), "detected_at": F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss")})
+
+
 def assets_to_rescan(sightings: DataFrame, as_of, hours: int = 168) -> DataFrame:
     since = F.lit(as_of) - F.make_interval(hours=F.lit(hours))
     return sightings.where(F.col("severity").isin("HIGH", "CRITICAL") & (F.col("detected_at") >= since)).select("asset_id").distinct()

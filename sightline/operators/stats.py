@@ -39,11 +39,15 @@ def symbol_bits(df: DataFrame, key: str, frame: str, value: str, size: int = 15)
     return rows.groupBy(key, "symbol").agg((F.avg(value) > 0).cast("int").alias("bit"))
 
 
+def hourly_means(df: DataFrame, key: str, at: str) -> DataFrame:
+    """Each key's mean number of rows in the hours that have any."""
+    return df.groupBy(key, F.window(at, "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.avg("n").alias("hourly_mean"))
+
+
 def velocity_spikes(df: DataFrame, key: str, at: str, factor: float = 3.0) -> DataFrame:
     """Quarter hours of a key with more rows than ``factor`` times its mean hour."""
     quarter = df.groupBy(key, F.window(at, "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("window_start"), "n")
-    hours = df.groupBy(key, F.window(at, "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.avg("n").alias("hourly_mean"))
-    return quarter.join(hours, key).withColumn("spike", F.col("n") > factor * F.col("hourly_mean"))
+    return quarter.join(hourly_means(df, key, at), key).withColumn("spike", F.col("n") > factor * F.col("hourly_mean"))
 
 
 def scene_cuts(df: DataFrame, key: str, frame: str, mean: str, least: float = 30.0) -> DataFrame:
@@ -56,7 +60,7 @@ def video_matches(frames: DataFrame) -> DataFrame:
     """Frame matches of a video grouped by asset: times in order, proofs, severity."""
     from ..functions import severity as sev
 
-    out = frames.groupBy("video_id", "asset_id").agg(F.sort_array(F.collect_list("t")).alias("times"), F.count(F.lit(1)).alias("frames"), F.bool_or(F.col("proof_type").isin("CONTAINER_MATCH", "CRYPTOGRAPHIC_LAYER_MATCH")).alias("cryptographic"))
+    out = frames.groupBy("video_id", "asset_id").agg(F.sort_array(F.collect_list("t")).alias("times"), F.sort_array(F.collect_set("proof_type")).alias("proofs"), F.count(F.lit(1)).alias("frames"), F.bool_or(F.col("proof_type").isin("CONTAINER_MATCH", "CRYPTOGRAPHIC_LAYER_MATCH")).alias("cryptographic"))
     return out.withColumn("severity", sev.video_severity(F.col("frames"), F.col("cryptographic")))
 
 
@@ -64,6 +68,24 @@ def leakers(observed: DataFrame, assigned: DataFrame) -> DataFrame:
     """For each observed copy the subscriber whose bits agree best: assigned streams of the same asset are compared bit by bit."""
     both = observed.join(assigned, "asset_id")
     same = F.size(F.filter(F.zip_with("bits", "bit_sequence", lambda a, b: a == b), lambda x: x))
-    both = both.withColumn("matched", same).withColumn("total", F.size("bits")).withColumn("confidence", F.col("matched") / F.col("total"))
-    best = F.row_number().over(Window.partitionBy("sighting_id").orderBy(F.desc("confidence"), "subscriber_id"))
-    return both.withColumn("_nth", best).where("_nth = 1").drop("_nth")
+    rows = both.select("sighting_id", "asset_id", "subscriber_id", same.alias("matched"), F.size("bits").alias("total")).withColumn("confidence", F.col("matched") / F.col("total"))
+    best = F.max_by(F.struct("asset_id", "subscriber_id", "matched", "total", "confidence"), F.struct("confidence", -F.col("subscriber_id")))
+    return rows.groupBy("sighting_id").agg(best.alias("best")).select("sighting_id", "best.*")
+
+
+def frame_changes(df: DataFrame, key: str, frame: str, pixels: str, least: float = 30.0) -> DataFrame:
+    """Scene cuts by pixels: frames whose mean absolute difference from the one before exceeds the threshold, with that difference."""
+    before = F.lag(pixels).over(Window.partitionBy(key).orderBy(frame))
+    change = F.aggregate(F.zip_with(pixels, before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
+    return df.withColumn("change", change).where(F.col("change") > least)
+
+
+def confidence(df: DataFrame, keys: list[str], correlation: str) -> DataFrame:
+    """Mean absolute correlation: how sure a watermark is."""
+    return df.groupBy(*keys).agg(F.avg(F.abs(correlation)).alias("confidence"))
+
+
+def luminance_series(df: DataFrame, key: str, frame: str, value: str) -> DataFrame:
+    """The mean luminance of a video's frames as one series, in the order of frames."""
+    means = df.groupBy(key, frame).agg(F.avg(value).alias("mean"))
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(frame, "mean"))), lambda x: x["mean"]).alias("series"))

@@ -14,6 +14,7 @@ from .functions import similarity as sim
 from .operators import crawl, custody, graph, registry, sightings, stats
 from .plans import detection
 from .streaming import pipeline
+from .workspace import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,12 +159,6 @@ def league_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.assets(spark, sf_dir).select("asset_id", F.array_join(texts.hashtags(F.col("league")), ",").alias("tags"))
 
 
-@query(f"WITH {_ASSETS} SELECT asset_id, 7 AS n, '\"match\" \"' || league || '\" \"watch free\"' AS second FROM assets")
-def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.assets(spark, sf_dir)
-    found = texts.search_queries(F.lit("org"), F.lit("match"), F.col("league"), F.lit("official.example"), F.col("asset_id").cast("string"), F.lit("00ff00ff00"), F.array(F.lit("one")), F.array(F.lit("goal")))
-    return rows.select("asset_id", found.alias("q")).select("asset_id", F.size("q").alias("n"), F.get("q", F.lit(1)).alias("second"))
-
 
 # ---- graphs -----------------------------------------------------------------------------------
 
@@ -179,7 +174,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 walk AS (SELECT node_id, 0 AS depth FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, w.depth + 1 FROM nodes n JOIN walk w ON n.parent_id = w.node_id)
 SELECT node_id, depth FROM walk""")
 def spread_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.depths(_nodes(spark, sf_dir), most=16)
+    return graph.depths(_nodes(spark, sf_dir))
 
 
 @query("SELECT user_id AS asset_id, count(*) AS incidents, round(sum(value), 3) AS reach, count(DISTINCT event_type) AS platforms FROM events GROUP BY user_id")
@@ -202,11 +197,6 @@ def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.derived_edges(views.sightings(spark, sf_dir), "fusion_score").select("sighting_id", "asset_id")
 
 
-@query("""SELECT user_id AS asset_id, count(*) AS nodes, count(*) FILTER (WHERE event_id >= 3) AS links FROM events GROUP BY user_id""")
-def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _nodes(spark, sf_dir)
-    return graph.node_link(rows, rows, "asset_id").select("asset_id", F.size("nodes").cast("long").alias("nodes"), F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("links"))
-
 
 # ---- rates ------------------------------------------------------------------------------------
 
@@ -235,10 +225,6 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.token_bucket(rows, "user_id", "ts", "event_id", 0.0005).select("event_id", "passed")
 
 
-@query("""SELECT user_id, event_id, coalesce(epoch_us(date_trunc('second', ts)) // 1000000 - epoch_us(date_trunc('second', lag(ts) OVER w)) // 1000000 < 86400, false) AS hit FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
-def ttl_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.ttl_hits(views.table(spark, sf_dir, "events"), "user_id", "ts", 86400).select("user_id", "event_id", "hit")
-
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 6 = 0")
 def rate_watch_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +268,7 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_DETECT} SELECT query_id, asset_id, round(most, 5) AS most, round(mean, 5) AS mean, round(fusion_score - global_score, 5) AS lift FROM fused")
 def regional_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, assets = views.probes(spark, sf_dir), views.fingerprints(spark, sf_dir)
-    rows = detection.fused(detection.top_k(probes, assets, 50), probes, assets)
+    rows = detection.fused(probes, assets, 50)
     mean = sim.total(F.col("region_scores")) / F.size("region_scores")
     return rows.select("query_id", "asset_id", F.round(F.array_max("region_scores"), 5).alias("most"), F.round(mean, 5).alias("mean"), F.round(F.col("fusion_score") - F.col("global_score"), 5).alias("lift"))
 
@@ -396,12 +382,6 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.queue_order(views.requests(spark, sf_dir)).orderBy(F.desc("score"), "seq").select("seq", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS href FROM pages) GROUP BY page_id""")
-def media_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources import crawled
-
-    return crawled.page_links(views.table(spark, sf_dir, "pages"), "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("href").alias("targets"))
-
 
 @query(f"WITH {_REQUESTS} SELECT seq, url LIKE 'http%' AND NOT regexp_matches(lower(url), '1x1|pixel|tracking') AS media, contains(host, 'example.com') AS permitted FROM requests")
 def media_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,12 +437,6 @@ def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.scene_cuts(rows, "video", "frame", "value").select("video", "frame")
 
 
-@query("""SELECT event_id // 20 AS video_id, user_id % 7 AS asset_id, count(*) AS frames, CASE WHEN bool_or(event_type = 'purchase') THEN 'CRITICAL' WHEN count(*) >= 2 THEN 'HIGH' ELSE 'LOW' END AS severity FROM events GROUP BY ALL""")
-def video_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proof = F.when(F.col("event_type") == "purchase", "CONTAINER_MATCH").otherwise("FORENSIC_VISUAL_MATCH")
-    rows = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("video_id"), (F.col("user_id") % 7).alias("asset_id"), (F.col("event_id") % 20 * 5).alias("t"), proof.alias("proof_type"))
-    return stats.video_matches(rows).select("video_id", "asset_id", "frames", "severity")
-
 
 @query("""WITH o AS (SELECT event_id AS sighting_id, event_id % 10 AS asset_id, list_transform(range(0, 16), lambda i: (event_id * 7 + i * i) % 2) AS bits FROM events),
 s AS (SELECT c_custkey AS subscriber_id, c_custkey % 10 AS asset_id, list_transform(range(0, 16), lambda i: (c_custkey + i * (c_custkey % 3)) % 2) AS bits FROM customer),
@@ -479,14 +453,6 @@ def leaker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- custody ----------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT user_id AS asset_id, event_id, ts, sha256(user_id || '|' || event_id) AS own, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT asset_id, count(*) AS entries, bool_and(CASE WHEN before IS NULL THEN true ELSE NOT (event_id % 97 = 5) END) AS valid FROM e GROUP BY asset_id""")
-def custody_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("asset_id"), "event_id", "ts", custody.entry_hash(F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("own"))
-    before = F.coalesce(F.lag("own").over(Window.partitionBy("asset_id").orderBy("ts", "event_id")), F.lit(custody.ZERO))
-    rows = rows.withColumn("prev", F.when(F.col("event_id") % 97 == 5, "tampered").otherwise(before))
-    return custody.checked(rows, "asset_id", ["ts", "event_id"], "own", "prev")
-
 
 @query("SELECT user_id AS asset_id, sha256(user_id || '|' || sha256(props) || '|' || sha256('owner' || user_id || 'salt')) AS commitment FROM events")
 def ownership_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,11 +461,6 @@ def ownership_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("asset_id"), hashing.commitment(asset, F.col("props"), F.concat(F.lit("owner"), asset), "salt").alias("commitment"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'CONTAINER_MATCH' WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN 'CRYPTOGRAPHIC_LAYER_MATCH' ELSE 'NONE' END AS proof FROM events""")
-def verify_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    return views.table(spark, sf_dir, "events").select("event_id", custody.cascade(e % 7 == 0, e % 5 == 0, e % 3 == 0).alias("proof"))
-
 
 @query("""SELECT user_id, CASE min(event_id % 7) WHEN 0 THEN 'CONTAINER_MATCH' WHEN 1 THEN 'CRYPTOGRAPHIC_LAYER_MATCH' WHEN 2 THEN 'TEMPORAL_WATERMARK_MATCH' WHEN 3 THEN 'AUDIO_WATERMARK_MATCH' WHEN 4 THEN 'STREAM_FINGERPRINT_MATCH' WHEN 5 THEN 'FORENSIC_VISUAL_MATCH' ELSE 'DORK_DOMAIN_HIT' END AS proof_type FROM events GROUP BY user_id""")
 def strongest_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,78 +472,9 @@ def strongest_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- media ------------------------------------------------------------------------------------
 
 
-@query()
-def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers packed from fingerprints and parsed again."""
-    from .functions import container
-
-    @F.pandas_udf("binary")
-    def packed(ids, clips):
-        import uuid
-
-        import pandas as pd
-
-        return pd.Series([container.pack(str(uuid.UUID(int=int(i))), str(uuid.UUID(int=int(i) % 5)), "org", 1_700_000_000 + int(i), bytes([int(i) % 256]) * 16, {"clip": c}) for i, c in zip(ids, clips)])
-
-    rows = views.fingerprints(spark, sf_dir).select("asset_id", packed("asset_id", "clip").alias("content"))
-    doc = container.parsed("content")
-    return rows.select("asset_id", doc.alias("d")).select("asset_id", "d.asset_uuid", F.size(F.col("d.vectors")["clip"]).alias("dimensions"), "d.custody_valid", "d.image_valid", "d.error")
-
-
-@query()
-def watermark_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectrum and wavelet watermarks on synthetic planes: embedded, extracted, compared."""
-    from .functions import imaging
-
-    @F.pandas_udf("wavelet_valid boolean, asset bigint, similarity double")
-    def marked(ids):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        for i in ids:
-            plane = np.random.default_rng(int(i)).uniform(60, 190, (128, 128))
-            copy = imaging.embed_wavelet(plane, int(i), 7, 1000)
-            got = imaging.extract_wavelet(copy)
-            out.append((got["valid"], got["asset"], imaging.similarity_index(plane, copy)))
-        return pd.DataFrame(out, columns=["wavelet_valid", "asset", "similarity"])
-
-    return spark.range(64).repartition(8).select("id", marked("id").alias("m")).select("id", "m.*")
 
 
-@query()
-def dtw_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of each fingerprint, cut into a sequence, with its neighbour's."""
-    from .functions import sequences
 
-    rows = views.fingerprints(spark, sf_dir).select("asset_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("clip", i * 8 + 1, 8)).alias("s"))
-    other = rows.select((F.col("asset_id") - 1).alias("asset_id"), F.col("s").alias("t"))
-    return rows.join(other, "asset_id").select("asset_id", sequences.dtw_similarity("s", "t").alias("similarity"), sequences.dtw_score("s", "t").alias("score"))
-
-
-@query()
-def psk_demodulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Luminance payloads embedded in a steady series and read coherently."""
-    from .functions import signals
-
-    @F.pandas_udf("boolean")
-    def survives(ids):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        for i in ids:
-            payload = signals.luminance_payload(f"asset-{i}", f"stream-{i}")
-            out.append(signals.coherent_bits(128 * signals.luminance_factor(64 * signals.SYMBOL, payload)) == payload)
-        return pd.Series(out)
-
-    return spark.range(64).repartition(8).select("id", survives("id").alias("exact"))
-
-
-@query()
-def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The crawl stream over events: each user's first event of a day."""
-    return _streamed(spark, sf_dir, lambda s: pipeline.deduplicated(s.select("user_id", "ts"), "user_id", "ts"))
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL
@@ -598,16 +490,9 @@ def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: stateful.token_bucket(s.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("seconds")), "user_id", "seconds", 0.0005))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; one of this machine where it names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sightline-streams").rstrip("/")
-
-
 def _streamed(spark: SparkSession, sf_dir: str, query) -> DataFrame:
     """Run a query over the events file as a stream until all is read; what it wrote."""
-    import uuid
-
-    base = f"{_stream_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "stream")
     schema = views.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
     pipeline.run_once(query(stream), f"{base}/out", f"{base}/checkpoint")
@@ -617,38 +502,8 @@ def _streamed(spark: SparkSession, sf_dir: str, query) -> DataFrame:
 # ---- registry ---------------------------------------------------------------------------------
 
 
-@query("SELECT vec_id AS asset_id, vec_id IS NOT NULL AS stored FROM embeddings")
-def register_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All assets registered in two rounds: ids are dense and unique."""
-    rows = views.fingerprints(spark, sf_dir)
-    empty = rows.limit(0).select(F.lit(0).cast("long").alias("index_id"), "asset_id", "clip")
-    half = registry.registered(empty, rows.where("asset_id % 2 = 0"), ["asset_id"])
-    both = registry.registered(half, rows.where("asset_id % 2 = 1"), ["asset_id"])
-    total = rows.count()
-    return both.select("asset_id", F.col("index_id").between(0, total - 1).alias("stored"))
-
-
-@query("SELECT c_custkey AS org_id FROM customer WHERE c_custkey = 77 AND c_custkey % 2 = 1")
-def api_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("c_custkey")
-    orgs = views.table(spark, sf_dir, "customer").select(c.alias("org_id"), hashing.key_hash(F.concat(F.lit("key-of-organisation-"), c.cast("string"))).alias("api_key_hash"), (c % 2 == 1).alias("active"))
-    return registry.organisation(orgs, F.lit("key-of-organisation-77")).select("org_id")
-
-
-@query("""WITH RECURSIVE e AS (SELECT user_id AS asset_id, CAST(event_id AS VARCHAR) AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events),
-chain AS (SELECT asset_id, position, content, repeat('0', 64) AS prev, sha256(content || '|' || repeat('0', 64)) AS own FROM e WHERE position = 0
-UNION ALL SELECT e.asset_id, e.position, e.content, c.own, sha256(e.content || '|' || c.own) FROM chain c JOIN e ON e.asset_id = c.asset_id AND e.position = c.position + 1)
-SELECT asset_id, CAST(position AS INTEGER) AS position, content, prev, own FROM chain""")
-def custody_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("asset_id"), "ts", "event_id")
-    return registry.appended(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "asset_id", ["ts", "event_id"], F.col("event_id").cast("string"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id * 2 ELSE -1 END AS score, page_id % 3 = 0 AS cache_hit FROM pages")
-def cache_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = views.table(spark, sf_dir, "pages").select("page_id", "url")
-    stored = pages.where("page_id % 3 = 0").groupBy("url").agg((F.max("page_id") * 2).alias("score"))
-    return registry.answered(pages, stored, "url").select("page_id", F.coalesce("score", F.lit(-1)).alias("score"), "cache_hit")
 
 
 @query(f"WITH {_SIGHTINGS} SELECT time_bucket(INTERVAL 1 DAY, detected_at) AS day, count(*) AS n, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM sightings GROUP BY 1")
@@ -656,13 +511,6 @@ def sighting_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.timeline(views.sightings(spark, sf_dir), "detected_at")
 
 
-@query("SELECT n AS page FROM range(0, 40, 4) AS t(n)")
-def paginated_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(_stream_folder(spark))
-    links = spark.range(37).select(F.col("id").alias("page"), (F.col("id") + 4).alias("next")).where("next < 40")
-    return registry.pages_reached(links, spark.range(1))
-
 
 @query(f"WITH {_DNA} SELECT q.query_id, a.asset_id FROM probes q JOIN fingerprints a ON q.phash_hi = a.phash_hi AND q.phash_lo = a.phash_lo")
 def hash_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -679,11 +527,12 @@ def band_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SIGHTINGS} SELECT sighting_id, asset_id, severity FROM sightings WHERE severity <> 'MISS'")
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl stream from arrival to storage: classified, filtered and stored batch by batch."""
-    import uuid
-
-    base = f"{_stream_folder(spark)}/stored-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "stored")
     events = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir)
     scored = events.select(F.col("event_id").alias("sighting_id"), F.col("user_id").alias("asset_id"), (((F.col("event_id") * 7919) % 1000).cast("double") / 1000).alias("fusion_score"))
     found = pipeline.staged(scored, lambda s: pipeline.deduplicated_for_ever(s, "sighting_id"), lambda s: pipeline.classified(s, "fusion_score"))
     pipeline.stored(found, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("sighting_id", "asset_id", "severity")
+
+
+from . import queries_media, queries_store  # noqa: E402, F401  they register their own

@@ -66,6 +66,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ContainerSource)
 
 
-def images(df: DataFrame) -> DataFrame:
-    """The image of each container, where its hash agrees."""
-    return df.where("image_valid").select("path", "asset_uuid", F.col("image"))
+def images(df: DataFrame, *carry: str) -> DataFrame:
+    """The image of each container, where its hash agrees; with the ``carry`` columns."""
+    return df.where("image_valid").select(*carry, "path", "asset_uuid", F.col("image"))

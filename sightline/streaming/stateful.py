@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.urls import BOOSTS
+
 
 def token_bucket(stream: DataFrame, key: str, seconds: str, rate: float) -> DataFrame:
     """key, seconds, passed: a bucket for each key, kept between batches; rows of a batch are taken in order of time."""
@@ -29,13 +31,13 @@ def token_bucket(stream: DataFrame, key: str, seconds: str, rate: float) -> Data
 
 
 def queue_scores(stream: DataFrame, domain: str, seconds: str) -> DataFrame:
-    """domain, seconds, score: priority less what is left of the domain's cooldown since its last request."""
+    """domain, seconds, score: priority and the domain's boost less what is left of the domain's cooldown since its last request."""
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(seconds)
         scores = []
         for t, priority in zip(rows[seconds], rows["priority"]):
-            scores.append(float(priority) - (0.0 if last is None else max(0.0, 500.0 - (t - last) * 500.0 / 60.0)))
+            scores.append(float(priority) + BOOSTS.get(group[0], 0) - (0.0 if last is None else max(0.0, 500.0 - (t - last) * 500.0 / 60.0)))
             last = t
         state.update((float(last),))
         yield pd.DataFrame({domain: group[0], seconds: rows[seconds].to_numpy(), "score": scores})
