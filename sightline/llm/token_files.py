@@ -214,7 +214,8 @@ def _tokenized(path: str, end_id: int, width: str):
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, width: str = "<u2") -> DataFrame:
     """part, start (tokens before it in the part), doc_id, ids: parts are ranges of doc_id in ascending order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Texts' beginnings are part of the ranges: rows of one id, or of none, are then dealt out as well.
+    ranged = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return ranged.mapInArrow(_tokenized(tokenizer_path, end_id, width), "part int, start long, doc_id long, ids binary")
 
 
