@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, ascii_lower
 
-#: The filters are sent to every executor only up to this size; a longer list is joined instead.
+#: The filters are sent to every executor up to this size; the keys of a longer list are dealt to several cascades, each of which judges its own pages.
 MAX_BYTES = 64 << 20
-#: Once no more keys than these are left at a level, the last, small levels are filled in one place.
-LAST_KEYS = 1 << 16
 MAX_LEVELS = 64
 
 
@@ -110,7 +108,7 @@ def _survivors(cascade: Cascade, listed: bool, fill: Level | None = None):
 
 
 def build_cascade(universe: DataFrame) -> Cascade:
-    """``universe``: h1, h2, listed for every distinct key, stored. The driver gets filter words only, and at the end at most LAST_KEYS keys."""
+    """``universe``: h1, h2, listed for every distinct key, stored. The driver gets filter words only."""
     count = dict(universe.groupBy("listed").count().collect())
     cascade, listed = Cascade(), True
     if not count.get(True):
@@ -125,25 +123,9 @@ def build_cascade(universe: DataFrame) -> Cascade:
         level = empty_level(number, left, rate)
         words = rest.mapInPandas(_survivors(cascade, listed, level), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
         level.words[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-        inserted = left
         cascade.levels.append(level)
         listed = not listed
         left = rest.mapInPandas(_survivors(cascade, listed), "h1 long, h2 long").count()
-        if inserted + left <= LAST_KEYS:
-            return _finished(cascade, *(_hashes(rest.mapInPandas(_survivors(cascade, kind), "h1 long, h2 long").toPandas()) for kind in (listed, not listed)), listed)
-    return cascade
-
-
-def _finished(cascade: Cascade, insert: tuple, other: tuple, listed: bool) -> Cascade:
-    """The last levels, where few keys are left."""
-    while len(insert[0]):
-        if len(cascade.levels) == MAX_LEVELS:
-            raise ValueError("two different keys have the same 128 bits of hash")
-        level = empty_level(len(cascade.levels), len(insert[0]), 0.5)
-        level.fill(*insert)
-        cascade.levels.append(level)
-        wrong = level.has(*other)
-        insert, other = tuple(h[wrong] for h in other), insert
     return cascade
 
 
@@ -187,13 +169,19 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: Sequence[tuple[
     host, path = url_parts(pages["url"].cast("string"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     wanted = listed_hosts.select(F.col(listed_hosts.columns[0]).cast("string").alias("host")).where("host is not null").distinct().withColumn("listed", F.lit(True))
-    keys = parts.select("host").distinct().join(wanted, "host", "left")
-    universe = space.table(keys.select(*key_hashes(F.col("host")), F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    # Every key of the corpus, and whether it is listed; the listed ones of elsewhere fall away.
+    keys = parts.select("host", F.lit(False).alias("listed"), F.lit(True).alias("here")).unionByName(wanted.select("host", "listed", F.lit(False).alias("here")))
+    keys = keys.groupBy("host").agg(F.bool_or("listed").alias("listed"), F.bool_or("here").alias("here")).where("here")
+    universe = space.table(keys.select(*key_hashes(F.col("host")), "listed"), "keys")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parts = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *key_hashes(F.col("host")))
-    if universe.where("listed").count() * 32 / 8 <= max_bytes:  # 32 bits a key are more than the levels take together
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name not in ("h1", "h2"))
-        judged = parts.mapInPandas(_judged(build_cascade(universe)), f"{schema}, listed boolean")
-    else:
-        judged = parts.join(universe.where("listed"), ["h1", "h2"], "left")
+    # 32 bits a listed key are more than the levels take together.
+    several = max(1, math.ceil(universe.where("listed").count() * 4 / max(1, max_bytes)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name not in ("h1", "h2"))
+    own = F.pmod(F.col("h2"), F.lit(several))
+    judged = None
+    for part in range(several):
+        cascade = build_cascade(universe.where(own == part))
+        some = parts.where(own == part).mapInPandas(_judged(cascade), f"{schema}, listed boolean")
+        judged = some if judged is None else judged.unionByName(some)
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
