@@ -108,11 +108,16 @@ def _list(words: list[str]) -> str:
 
 
 def _notices_sql() -> str:
-    return ", ".join(f"('{label}', {_list(text.split())})" for label, (text, _) in licenses.TEMPLATES.items())
+    return ", ".join(f"('{label}', {_list(sorted(set(text.split())))}, {len(text.split())}, {licenses.drift(len(text.split()))})" for label, (text, _) in licenses.TEMPLATES.items())
 
 
 def _keys_sql() -> str:
-    return ", ".join(f"('{label}', {licenses._find(text.split(), key.split())}, {_list(key.split())})" for label, (text, keys) in licenses.TEMPLATES.items() for key in keys)
+    seen: dict[str, int] = {}
+    rows = []
+    for label, at, phrase in licenses.key_phrases(licenses.TEMPLATES):
+        seen[label] = seen.get(label, -1) + 1
+        rows.append(f"('{label}', {seen[label]}, {at}, {_list(phrase)})")
+    return ", ".join(rows)
 
 
 def _phrases_sql() -> str:
@@ -171,18 +176,14 @@ a AS (SELECT *, 2 * start + size < 2 * target AS once, size > 0 AND 2 * (start +
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (once::INTEGER + twice::INTEGER) AS BIGINT) AS taken, CASE WHEN once THEN CAST(round(total * moment) AS BIGINT) END AS position FROM a""",
     "op7_licenses": rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
--- The index: words of the notices with their places, and of each text the places of such words.
-notices AS (SELECT * FROM (VALUES {_notices_sql()}) AS t(template, notice)),
-keys AS (SELECT * FROM (VALUES {_keys_sql()}) AS t(template, start, phrase)),
-postings AS (SELECT template, i - 1 AS place, notice[i] AS word FROM notices, unnest(range(1, len(notice) + 1)) AS t(i) WHERE notice[i] NOT IN ({_quoted(licenses.UNINDEXED)})),
-hits AS (SELECT r, p - 1 AS pos, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p) WHERE w[p] IN (SELECT word FROM postings) OR w[p] IN ('cc', 'general', 'reserved')),
-df AS (SELECT word, count(DISTINCT r) AS df FROM hits GROUP BY word),
-ranked AS (SELECT r, template, pos - place AS start, dense_rank() OVER (PARTITION BY r, template ORDER BY df, word) AS rank FROM hits JOIN df USING (word) JOIN postings USING (word)),
-counted AS (SELECT r, template, start, count(DISTINCT rank) AS votes FROM ranked WHERE rank <= {licenses.ANCHORS} GROUP BY r, template, start),
-votes AS (SELECT *, max(votes) OVER (PARTITION BY r, template) AS most FROM counted),
-found AS (SELECT v.r, v.template, len(list_filter(range(1, len(notice) + 1), lambda i: v.start + i >= 1 AND d.w[v.start + i] = notice[i])) / len(notice)::DOUBLE AS share
-  FROM votes v JOIN d USING (r) JOIN notices n ON n.template = v.template WHERE v.votes >= least(v.most, 2)
-  AND NOT EXISTS (SELECT 1 FROM keys k WHERE k.template = v.template AND (v.start + k.start < 0 OR d.w[v.start + k.start + 1 : v.start + k.start + len(k.phrase)] <> k.phrase))),
+-- Every place of every key phrase, and where its notice would begin by it; a notice is where all its phrases agree.
+notices AS (SELECT * FROM (VALUES {_notices_sql()}) AS t(template, notice, size, slack)),
+keys AS (SELECT * FROM (VALUES {_keys_sql()}) AS t(template, nth, start, phrase)),
+firsts AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p) WHERE w[p] IN (SELECT phrase[1] FROM keys)),
+standing AS (SELECT r, template, nth, p - 1 - start AS begin FROM firsts JOIN keys ON keys.phrase[1] = word JOIN d USING (r) WHERE d.w[p : p + len(phrase) - 1] = phrase),
+agreed AS (SELECT s.r, s.template, s.begin, n.notice, n.size, n.slack FROM standing s JOIN notices n USING (template) WHERE s.nth = 0
+  AND NOT EXISTS (SELECT 1 FROM keys k WHERE k.template = s.template AND NOT EXISTS (SELECT 1 FROM standing o WHERE o.r = s.r AND o.template = s.template AND o.nth = k.nth AND abs(o.begin - s.begin) <= n.slack))),
+found AS (SELECT r, template, len(list_intersect(notice, d.w[greatest(begin, 0) + 1 : greatest(begin, 0) + size + slack])) / len(notice)::DOUBLE AS share FROM agreed JOIN d USING (r)),
 base AS (SELECT r, p - 1 AS pos, label FROM d, unnest(range(1, len(w) + 1)) AS t(p), (VALUES {_phrases_sql()}) AS b(label, phrase) WHERE w[p : p + len(phrase) - 1] = phrase),
 by_base AS (SELECT r, count(*) AS n, min(pos) AS first, max(pos) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
 by_label AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, template FROM found) GROUP BY r),
