@@ -309,11 +309,16 @@ def _linked(members: DataFrame, signs: DataFrame, texts: DataFrame, space: Works
     found = components(links, space, "first").withColumnRenamed("doc_id", "b")
     placed = tested.join(found, "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     placed = space.table(placed, "placed")
-    split = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a")
-    rest = space.table(placed.join(split, "a", "left_semi"), "rest")
+    split = space.table(placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a"), "split")
+    rest = space.table(placed.join(_few(split), "a", "left_semi"), "rest")
     return links.union(_within(rest, signs, texts, space, k, percent))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Sent to all tasks if there are few enough, so that a pivot of very many texts is not gathered in one task."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows
+
+
 def _within(rest: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspace, k: int, percent: int) -> DataFrame:
     """Links between components among texts that share a pivot: any two texts of a bucket do.
 
@@ -326,8 +331,8 @@ def _within(rest: DataFrame, signs: DataFrame, texts: DataFrame, space: Workspac
     held = space.table(sets.join(signs, "doc_id"), "rest-sets", "uncompressed")
     own = rest.join(held.withColumnRenamed("doc_id", "b"), "b")
     sizes = rest.join(held.select(F.col("doc_id").alias("b"), F.length("shingles").alias("bytes")), "b").groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
-    blocks = sizes.select("a", F.ceil(F.greatest(F.col("rows") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = own.join(blocks, "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks")))
+    blocks = space.table(sizes.select("a", F.ceil(F.greatest(F.col("rows") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
+    dealt = own.join(_few(blocks), "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("a", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "b", "component", "sign", "shingles")
     links = dealt.groupBy("a", "one", "two").applyInPandas(_met(least_equal(percent / 100), percent), "a long, b long")

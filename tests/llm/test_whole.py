@@ -50,6 +50,30 @@ def test_a_notice_is_found_beside_any_other(spark):
     assert [r["found"][0]["label"] for r in licenses.scan_licenses(docs.selectExpr("doc_id", "'we go by this' as text"), same).collect()] == ["odd"] * 3
 
 
+def test_planted_notices_are_found(spark):
+    """Every notice, set in prose, with names and a word put in between its phrases, in any case and with marks; and none in prose made of their words."""
+    draw = np.random.default_rng(11)
+    prose = [f"prose{i}" for i in range(200)]
+    rows, want = [], {}
+    for label, (text, keys) in licenses.TEMPLATES.items():
+        for copy in range(5):
+            own = text.split()
+            held = {q for key in keys for q in range(licenses.find(own, key.split()), licenses.find(own, key.split()) + len(key.split()))}
+            free = [q for q in range(1, len(own)) if q not in held or q - 1 not in held]
+            if copy and free:
+                own.insert(int(draw.choice(free)), "Example-Corp")
+            words = [w.upper() if copy == 2 else w for w in own]
+            at = int(draw.integers(0, 150))
+            rows.append((len(rows), " ".join([*prose[:at], ", ".join(words) if copy == 3 else " ".join(words), *prose[at:]])))
+            want[len(rows) - 1] = label
+    bank = sorted({w for text, _ in licenses.TEMPLATES.values() for w in text.split()})
+    rows += [(10_000 + i, " ".join(draw.choice(bank, 300))) for i in range(40)]
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in licenses.digest(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    recall = np.mean([label in got[i][0] and got[i][1] > 0.8 for i, label in want.items()])
+    assert recall >= 0.9
+    assert all(got[10_000 + i] == ([""], 0.0) for i in range(40))
+
+
 # ---- 8: pages ---------------------------------------------------------------------------------
 
 
