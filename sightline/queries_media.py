@@ -280,7 +280,7 @@ def platform_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT vec_id, 300 + vec_id * 37 % 3000 AS w, 300 + vec_id * 53 % 3000 AS h FROM embeddings), c AS (SELECT * FROM (VALUES ('instagram', 1080, 1080), ('tiktok', 1080, 1920), ('twitter', 1200, 675)) AS t(platform, cw, ch)),
 f AS (SELECT vec_id, platform, cw, ch, greatest(1, CAST(round(w * least(1.0::DOUBLE, cw / w::DOUBLE, ch / h::DOUBLE)) AS INTEGER)) AS width, greatest(1, CAST(round(h * least(1.0::DOUBLE, cw / w::DOUBLE, ch / h::DOUBLE)) AS INTEGER)) AS height FROM s, c)
-SELECT vec_id, platform, width, height, (cw - width) // 2 AS offset_left, (ch - height) // 2 AS offset_top FROM f UNION ALL SELECT vec_id, 'original', w, h, 0, 0 FROM s""")
+SELECT vec_id, platform, width, height, (cw - width) // 2 AS offset_left, (ch - height) // 2 AS offset_top FROM f UNION ALL SELECT vec_id, 'original', CAST(w AS INTEGER), CAST(h AS INTEGER), 0, 0 FROM s""")
 def platform_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image as each platform would show it."""
     v = F.col("vec_id")
@@ -292,7 +292,7 @@ def platform_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT event_id // 12 AS video_id, event_id % 12 * 5 AS t, CASE WHEN event_id % 7 <> 0 THEN value END AS frame FROM events)
-SELECT video_id, t, frame, row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS nth, duration FROM (SELECT *, max(t) OVER (PARTITION BY video_id) AS duration FROM f) WHERE t IN (0, 5, 15, 30) AND frame IS NOT NULL""")
+SELECT video_id, t, frame, CAST(row_number() OVER (PARTITION BY video_id ORDER BY t) - 1 AS INTEGER) AS nth, duration FROM (SELECT *, max(t) OVER (PARTITION BY video_id) AS duration FROM f) WHERE t IN (0, 5, 15, 30) AND frame IS NOT NULL""")
 def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames at the sampling times; some could not be read."""
     e = F.col("event_id")

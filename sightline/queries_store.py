@@ -111,7 +111,7 @@ _PHRASES = ", ".join("'" + t.replace("'", "''") + "'" for t in texts.SEARCHES)
 f AS (SELECT t.*, list_transform([{_PHRASES}], lambda q: replace(replace(replace(replace(replace(replace(replace(q, '{{org}}', 'Org'), '{{event}}', 'Final ' || asset_id), '{{league}}', league), '{{domain}}', 'own.example'), '{{hashtag}}', 'tag'), '{{asset}}', substr(name, 1, 8)), '{{seal}}', '00ff00ff')) AS fixed FROM t),
 n AS (SELECT *, list_transform(range(0, least(players, 2)), lambda i: '"Player ' || i || '" "Final ' || asset_id || '" highlight -own.example') AS named,
   CASE WHEN keywords > 0 THEN ['"Final ' || asset_id || '" ' || array_to_string(list_transform(range(0, least(keywords, 3)), lambda i: 'word' || i), ' OR ') || ' -own.example'] ELSE [] END AS worded FROM f)
-SELECT asset_id, unnest(range(1, len(list_concat(list_concat(fixed, named), worded)[1:12]) + 1)) AS nth, unnest(list_concat(list_concat(fixed, named), worded)[1:12]) AS phrase FROM n""")
+SELECT asset_id, CAST(unnest(range(1, len(list_concat(list_concat(fixed, named), worded)[1:12]) + 1)) AS INTEGER) AS nth, unnest(list_concat(list_concat(fixed, named), worded)[1:12]) AS phrase FROM n""")
 def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("asset_id")
     name = F.concat(F.lit("asset-"), F.lpad(a.cast("string"), 6, "0"))
