@@ -23,6 +23,8 @@ from .common import Workspace, ascii_lower
 #: The filters are sent to every executor up to this size; the keys of a longer list are dealt to several cascades, each of which judges its own pages.
 MAX_BYTES = 64 << 20
 MAX_LEVELS = 64
+#: Keys that a task reads when a level is filled: there are two passes for each level.
+TASK_KEYS = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -175,8 +177,10 @@ def judge_urls(pages: DataFrame, listed_hosts: DataFrame, rules: Sequence[tuple[
     universe = space.table(keys.select(*key_hashes(F.col("host")), "listed"), "keys")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     parts = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *key_hashes(F.col("host")))
+    every, listed = universe.agg(F.count(F.lit(1)), F.count_if("listed")).head()
+    universe = universe.coalesce(max(1, math.ceil(every / TASK_KEYS)))
     # 32 bits a listed key are more than the levels take together.
-    several = max(1, math.ceil(universe.where("listed").count() * 4 / max(1, max_bytes)))
+    several = max(1, math.ceil(listed * 4 / max(1, max_bytes)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name not in ("h1", "h2"))
     own = F.pmod(F.col("h2"), F.lit(several))
     judged = None
