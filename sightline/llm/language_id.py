@@ -243,8 +243,8 @@ def identify(docs: DataFrame, model: Model, carry: Sequence[str] | None = None)
     """The ``carry`` columns of every row (all by default), and after them _lang, _score and _rejected (with more underscores where a column has that name).
 
     Null text and text without a letter are ``und`` with score 0 and rejected. A model that has
-    learned nothing says ``und`` and rejects nothing. Repeated rows are judged alike; an empty table
-    gives an empty result.
+    learned nothing says ``und`` and rejects nothing. Of languages of equal scores the first in order is
+    said. Repeated rows are judged alike; an empty table gives an empty result.
     """
     carried = docs.select(*[F.col(f"`{c}`") for c in (carry if carry is not None else docs.columns)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)

@@ -1,13 +1,13 @@
 """Operators on whole inputs: what an earlier version cut, dropped or mixed up."""
 
 import collections
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightline.llm import decontaminate, html_extract, language_id, licenses
-
+from sightline.llm import decontaminate, html_extract, language_id, licenses, secrets
 
 
 # ---- 3: decontamination -----------------------------------------------------------------------
@@ -159,3 +159,78 @@ def test_stages_judge_rows_and_not_ids(spark, data):
     docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], docs.schema)
     got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, data).collect())
     assert got == {(None, prose(1)): 1, (7, prose(2)): 1, (None, None): 1}
+
+
+# ---- 5: brute force ---------------------------------------------------------------------------
+
+
+def scored(model, text):
+    """Language, score, share of known subwords of one text, subword by subword."""
+    codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+    total, number, known = np.zeros(len(model.languages)), 0, 0
+    for size in language_id.SIZES:
+        for a in range(len(codes) - size + 1):
+            own = codes[a : a + size]
+            if not (any(own) if size == 2 else all(own[1:-1])):
+                continue
+            value = size
+            for k, c in enumerate(own):
+                value = ((value ^ c) * (0x01000193 + 2 * k)) & 0xFFFFFFFF
+            value ^= value >> 15
+            bucket = ((value * 0x9E3779B1) & 0xFFFFFFFF) >> 32 - language_id.BUCKET_BITS
+            total, number, known = total + model.rows[bucket], number + 1, known + int(model.seen[bucket])
+    shares = np.exp((total / max(number, 1) + model.bias) / model.temperature)
+    shares /= shares.sum()
+    return (model.languages[int(shares.argmax())], shares.max(), known / number) if number else ("und", 0.0, 0.0)
+
+
+def test_predictions_by_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.fit(docs)
+    texts = docs.toPandas()["text"].tolist() + ["", "1 2 3", "É", "İstanbul ǅ", "a" * 5000]
+    languages, scores, rejected = model.predict(texts)
+    for text, language, score, out in zip(texts, languages, scores, rejected):
+        want = scored(model, text)
+        assert language == want[0] and abs(score - want[1]) < 1e-5
+        assert out == (language == "und" or want[1] < model.threshold or want[2] < model.known) or abs(want[1] - model.threshold) < 1e-5 or abs(want[2] - model.known) < 1e-9
+
+
+def test_equal_scores_go_to_the_first_language():
+    model = language_id.Model(["a", "b"], np.zeros((1 << language_id.BUCKET_BITS, 2), dtype=np.float32), np.zeros(2), np.ones(1 << language_id.BUCKET_BITS, dtype=np.int32))
+    assert model.predict(["some words"])[0] == ["a"] and model.predict(["some words"])[1][0] == 0.5
+
+
+# ---- 9: planted secrets -----------------------------------------------------------------------
+
+ENCODINGS = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "hex": string.digits + "ABCDEF"}
+
+
+def planted_secrets(spark, data):
+    """Share found of random strings by encoding and length, and of words' joins that are taken for secrets."""
+    draw = np.random.default_rng(12)
+    prose = spark.read.parquet(f"{data}/documents.parquet").select("text").toPandas()["text"].tolist()
+    words = [w for t in prose[:50] for w in t.split() if w.isalpha() and w.isascii()]
+    rows, want = [], {}
+    for name, alphabet in ENCODINGS.items():
+        for length in (24, 32, 40, 64):
+            for _ in range(25):
+                secret = "".join(draw.choice(list(alphabet), length))
+                text = " ".join(prose[len(rows) % len(prose)].split()[:40])
+                want[len(rows)] = name, length, f"random:{len(text) + 5}:{len(text) + 5 + length}"
+                rows.append((len(rows), f"{text} see {secret} there"))
+    joins = len(rows)
+    for _ in range(400):
+        joined = "".join(draw.choice(words, 12))[: int(draw.integers(20, 50))]
+        rows.append((len(rows), f"see {joined} there"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    found = collections.defaultdict(list)
+    for i, (name, length, span) in want.items():
+        found[name, length].append(span in got[i].split(","))
+    return {k: float(np.mean(v)) for k, v in found.items()}, float(np.mean(["random" in got[i] for i in range(joins, len(rows))]))
+
+
+def test_planted_secrets_are_found(spark, data):
+    """Short strings, and those of few characters as upper-case hex, are not even enough to tell; lower-case hex has a pattern of its own."""
+    recall, false = planted_secrets(spark, data)
+    assert all(r >= 0.9 for (name, length), r in recall.items() if name in ("base62", "base64") and length >= 32 or name == "base32" and length >= 40), recall
+    assert false <= 0.01
