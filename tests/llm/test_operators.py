@@ -179,7 +179,7 @@ def agree(got, want):
 @pytest.mark.parametrize("shard", [1 << 14, 64])
 def test_search_is_exact(spark, data, documents, shard, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
-    monkeypatch.setattr(bm25, "PART_QUERIES", 4 if shard == 64 else 1 << 13)
+    monkeypatch.setattr(bm25, "PART_QUERIES", 4 if shard == 64 else 1 << 14)
     docs = list(documents[["doc_id", "text"]].itertuples(index=False, name=None))
     agree(searched(queries.op4_topk_search(spark, data)), brute_force(docs, [d for d in docs if d[0] % 20 == 0]))
 
