@@ -65,10 +65,19 @@ def video_matches(frames: DataFrame) -> DataFrame:
 
 
 def leakers(observed: DataFrame, assigned: DataFrame) -> DataFrame:
-    """For each observed copy the subscriber whose bits agree best: assigned streams of the same asset are compared bit by bit."""
-    both = observed.join(assigned, "asset_id")
+    """For each observed copy the subscriber whose bits agree best, of equal ones the smallest: assigned streams of the same asset are compared bit by bit.
+
+    Different streams are compared once for each asset: copies of equal bits have one answer, and of
+    subscribers of equal bits only the smallest can be it.
+    """
+    holders = assigned.groupBy("asset_id", "bit_sequence").agg(F.min("subscriber_id").alias("subscriber_id"))
+    both = observed.select("asset_id", "bits").distinct().join(holders, "asset_id")
     same = F.size(F.filter(F.zip_with("bits", "bit_sequence", lambda a, b: a == b), lambda x: x))
-    rows = both.select("sighting_id", "asset_id", "subscriber_id", same.alias("matched"), F.size("bits").alias("total")).withColumn("confidence", F.col("matched") / F.col("total"))
+    # The stream is one column, so that its groups need an exchange of their own and a large asset's join can be split.
+    pairs = both.select(F.struct("asset_id", "bits").alias("stream"), "subscriber_id", same.alias("matched"))
+    best = pairs.groupBy("stream").agg(F.max_by(F.struct("subscriber_id", "matched"), F.struct("matched", -F.col("subscriber_id"))).alias("best"))
+    rows = observed.select("sighting_id", F.struct("asset_id", "bits").alias("stream")).join(best, "stream")
+    rows = rows.select("sighting_id", "stream.asset_id", "best.subscriber_id", "best.matched", F.size("stream.bits").alias("total")).withColumn("confidence", F.col("matched") / F.col("total"))
     best = F.max_by(F.struct("asset_id", "subscriber_id", "matched", "total", "confidence"), F.struct("confidence", -F.col("subscriber_id")))
     return rows.groupBy("sighting_id").agg(best.alias("best")).select("sighting_id", "best.*")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sightline import views
 from sightline.functions import imaging, png, signals, signing
-from sightline.operators import crawl, graph, registry
+from sightline.operators import crawl, graph, registry, stats
 from sightline.plans import detection
 from sightline.sources import crawled
 from sightline.streaming import schedule
@@ -55,6 +55,31 @@ def test_cells_find_most_of_the_best(spark):
     assert whole == exact
 
 
+def test_equal_streams_are_compared_once(spark):
+    """Leakers against plain Python, with ties, missing and unequal streams; a join makes no pair of rows for equal streams."""
+    draw = np.random.default_rng(3)
+    streams = [[int(x) for x in draw.integers(0, 2, 8)] for _ in range(5)] + [[1, 0, 1], [1, None, 1, 0, 0, 1, 1, 0]]
+    observed = [(i, i % 3, streams[i % 7]) for i in range(600)] + [(7, 1, streams[2]), (900, 9, streams[0]), (901, None, streams[0])]
+    assigned = [(1000 - i, i % 4, streams[(i * i) % 7]) for i in range(400)] + [(5000, None, streams[0])]
+    same = lambda a, b: sum(x is not None and x == y for x, y in zip(a, b))
+    want: dict = {}
+    for i, a, bits in observed:
+        for j, b, own in assigned:
+            if a is not None and a == b:
+                want[i] = max(want.get(i, (-1.0,)), (same(bits, own) / len(bits), -j, same(bits, own), len(bits)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan that ran can be walked
+    try:
+        found = stats.leakers(spark.createDataFrame(observed, "sighting_id long, asset_id int, bits array<int>"), spark.createDataFrame(assigned, "subscriber_id long, asset_id int, bit_sequence array<int>"))
+        assert {r["sighting_id"]: (r["confidence"], -r["subscriber_id"], r["matched"], r["total"]) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    nodes = [found._jdf.queryExecution().executedPlan()]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    made = [n.metrics().apply("numOutputRows").value() for n in nodes if "Join" in n.nodeName()]
+    assert made and max(made) <= len(observed)
+
+
 @pytest.mark.parametrize("most", [0, 1, 3, 7, 12])
 def test_hash_neighbours_loses_none(spark, most):
     draw = np.random.default_rng(most)
