@@ -485,3 +485,18 @@ def test_bounds():
     assert near_dedup.band_rows(0.85) == 7 and near_dedup.band_rows(0.8) == 6
     least = near_dedup.least_equal(0.85)
     assert least == sorted(least) and least[-1] < 0.85 * near_dedup.HASHES
+
+
+def test_words_of_long_documents_are_looked_up_alike(monkeypatch):
+    """Shared words of query and documents: looked up in the documents or in the query, the same in the same order, so scores round alike."""
+    draw = np.random.default_rng(2)
+    words = [np.sort(draw.choice(np.arange(1, 9000, dtype=np.uint64), n, replace=False)) for n in (1, 3, 40, 700, 2500, 5000)]
+    counts = [draw.integers(1, 9, len(w)).astype("<u4") for w in words]
+    shard = bm25.Shard([np.array([i]) for i in range(len(words))], words, counts, [int(c.sum()) for c in counts], 900.0)
+    number = np.sort(draw.choice(len(shard.words), 200, replace=False))
+    for docs in (np.arange(6), np.arange(3), np.array([5]), np.zeros(0, dtype=np.int64)):
+        monkeypatch.setattr(bm25, "LONG_DOC", 1 << 40)
+        short = shard._shared(docs, number)
+        monkeypatch.setattr(bm25, "LONG_DOC", -(1 << 20))
+        assert all(np.array_equal(a, b) for a, b in zip(short, shard._shared(docs, number), strict=True))
+    assert len(short[0]) == 0
